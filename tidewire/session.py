@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -25,3 +28,22 @@ def get_session(app: str = "tidewire", cpus: int | None = None, memory: str = "8
     spark = builder.config("spark.sql.shuffle.partitions", str(partitions or cpus)).config("spark.ui.showConsoleProgress", "false").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers of the session's application, once, so that they need no path of their own to it."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    root = Path(__file__).resolve().parent
+    if not root.is_dir():  # already run from an archive that was sent
+        return
+    archive = Path(tempfile.mkdtemp(prefix="tidewire-")) / "tidewire.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    context.addPyFile(str(archive))
