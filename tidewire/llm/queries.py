@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from tidewire.llm import encoding, leakage, spans
+from tidewire.llm import encoding, leakage, near_duplicates, spans, split_overlap
 
 QUERIES = {
+    "p3_found": near_duplicates.p3_found,
+    "p3_groups": near_duplicates.p3_groups,
+    "p5_found": split_overlap.p5_found,
+    "p5_report": split_overlap.p5_report,
     "p8_ids": encoding.p8_ids,
     "p9_found": leakage.p9_found,
     "p9_items": leakage.p9_items,
