@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from tidewire.llm import encoding, leakage, near_duplicates, spans, split_overlap
+from tidewire.llm import cooccurrence, encoding, frequency, leakage, near_duplicates, spans, split_overlap
 
 QUERIES = {
     "p3_found": near_duplicates.p3_found,
     "p3_groups": near_duplicates.p3_groups,
     "p5_found": split_overlap.p5_found,
     "p5_report": split_overlap.p5_report,
+    "p6_found": frequency.p6_found,
+    "p6_counts": frequency.p6_counts,
+    "p7_found": cooccurrence.p7_found,
+    "p7_pairs": cooccurrence.p7_pairs,
     "p8_ids": encoding.p8_ids,
     "p9_found": leakage.p9_found,
     "p9_items": leakage.p9_items,
@@ -16,4 +20,4 @@ QUERIES = {
     "p10_share": spans.p10_share,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = frequency.ORACLES | cooccurrence.ORACLES
