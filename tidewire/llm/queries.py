@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from tidewire.llm import cooccurrence, encoding, frequency, leakage, near_duplicates, spans, split_overlap
+from tidewire.llm import cooccurrence, encoding, frequency, leakage, near_duplicates, neighbours, proportions, spans, split_overlap, subjects
 
 QUERIES = {
+    "p1_found": proportions.p1_found,
+    "p1_report": proportions.p1_report,
+    "p1_sample": proportions.p1_sample,
+    "p2_found": neighbours.p2_found,
+    "p2_neighbours": neighbours.p2_neighbours,
     "p3_found": near_duplicates.p3_found,
     "p3_groups": near_duplicates.p3_groups,
+    "p4_found": subjects.p4_found,
+    "p4_makeup": subjects.p4_makeup,
     "p5_found": split_overlap.p5_found,
     "p5_report": split_overlap.p5_report,
     "p6_found": frequency.p6_found,
@@ -20,4 +27,4 @@ QUERIES = {
     "p10_share": spans.p10_share,
 }
 
-ORACLES: dict[str, str] = frequency.ORACLES | cooccurrence.ORACLES
+ORACLES: dict[str, str] = proportions.ORACLES | frequency.ORACLES | cooccurrence.ORACLES
