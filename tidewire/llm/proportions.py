@@ -230,9 +230,9 @@ def p1_sample(spark: SparkSession, folder: str) -> DataFrame:
 ORACLES = {
     "p1_found": r"""
 with recursive newest as (select id, r.iptc from (select id, arg_max({'iptc': iptc}, loaded_at) r from articles where id is not null group by id)),
-up as (select topic_id start, topic_id at from topics union select start, parent from up join topic_edges on child = at and child <> parent),
-root as (select start, at from up where not exists (select 1 from topic_edges e where e.child = at and e.parent <> e.child)),
-label as (select t.topic_label, s.topic_label subject from root join topics t on t.topic_id = start join topics s on s.topic_id = at),
+up as (select topic_id start, topic_id here from topics union select start, parent from up join topic_edges on child = here and child <> parent),
+root as (select start, here from up where not exists (select 1 from topic_edges e where e.child = here and e.parent <> e.child)),
+label as (select t.topic_label, s.topic_label subject from root join topics t on t.topic_id = start join topics s on s.topic_id = here),
 held as (select distinct id, subject from (select id, trim(regexp_replace(lower(x), '\s+', ' ', 'g')) x from (select id, unnest(iptc) x from newest)) join label on x = topic_label),
 total as (select count(distinct id) // 2 half from held)
 select topic from sample_targets, total where (select count(*) from held where subject = topic) < greatest(min_rows, ceil(half * target_permille / 1000.0))""",
