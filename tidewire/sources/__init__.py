@@ -1 +1 @@
-"""Reading tables and text formats."""
+"""Reading and writing of tables and text formats."""
