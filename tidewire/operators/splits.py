@@ -132,16 +132,23 @@ def supersampled(rows: DataFrame, key: str, positive: Column, seed: int = 0) ->
     So the copies are as many as the others, and positives end up more than the others, as intended.
     """
     marked = rows.withColumn("_pos", F.coalesce(positive, F.lit(False)))
-    n = marked.agg(F.count_if("_pos").alias("_n"), F.count_if("not _pos").alias("_missing"))
+    n = marked.agg(F.count_if("_pos").alias("_n"), F.count_if(~F.col("_pos")).alias("_missing"))
     drawn = draw_with_replacement(marked.where("_pos"), n.select("_missing"), key, seed)
     return marked.unionByName(drawn).drop("_pos")
 
 
+def numbered(rows: DataFrame, most: str, into: str, block: int = 100_000) -> DataFrame:
+    """rows, each as many times as its number ``most``, numbered from 0. Long runs are cut into blocks that are spread over the tasks before they are made."""
+    at = F.col("_block") * block
+    blocks = rows.where(F.col(most) > 0).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(most) - 1) / block))))
+    return blocks.repartition(F.col("_block"), F.col(most)).withColumn(into, F.explode(F.sequence(at, F.least(F.col(most).cast("long"), at + block) - 1))).drop("_block")
+
+
 def draw_with_replacement(rows: DataFrame, how_many: DataFrame, key: str, seed: int = 0) -> DataFrame:
     """Copies of rows drawn with replacement, as many as the one number of how_many; keys end in _ and the copy's number. A copy's number and the seed draw the place of its row, so no row waits for another."""
     placed = with_index(rows, key)
     n = rows.agg(F.count("*").alias("_rows"))
-    wanted = how_many.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col(how_many.columns[0]).cast("long"))).alias("_copy"), F.col(how_many.columns[0]).alias("_most")).where("_copy < _most")
+    wanted = numbered(how_many.toDF("_most"), "_most", "_copy")
     pick = wanted.join(F.broadcast(n)).where("_rows > 0").withColumn("idx", F.floor(share("_copy", seed=seed) * F.col("_rows")).cast("long"))
     return placed.join(pick.select("idx", "_copy"), "idx").withColumn(key, F.concat_ws("_", F.col(key).cast("string"), F.col("_copy").cast("string"))).select(*rows.columns)
 
@@ -167,8 +174,10 @@ def supersample_labels(articles: DataFrame, cap: int | None = None, seed: int =
     counts = rows.groupBy("label").agg(F.count("*").alias("_n"))
     most = F.max("_n") if cap is None else F.least(F.max("_n"), F.lit(cap))
     counts = counts.join(F.broadcast(counts.agg(most.alias("_most"))))
-    placed = rows.withColumn("idx", F.row_number().over(Window.partitionBy("label").orderBy("id")) - 1)
-    wanted = counts.where("_most > _n").select("label", "_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_most") - F.col("_n"))).alias("copy"))
+    all_places = with_index(rows, "label", "id")
+    first = all_places.groupBy("label").agg(F.min("idx").alias("_first"))
+    placed = all_places.join(F.broadcast(first), "label").withColumn("idx", (F.col("idx") - F.col("_first")).cast("int"))
+    wanted = numbered(counts.withColumn("_missing", F.col("_most") - F.col("_n")), "_missing", "copy").withColumn("copy", F.col("copy") + 1)
     picked = wanted.withColumn("idx", F.floor(share("label", "copy", seed=seed) * F.col("_n")).cast("int"))
     copies = placed.join(picked.select("label", "idx", "copy"), ["label", "idx"]).select("label", "id", "copy")
     return rows.select("label", "id", F.lit(0).cast("long").alias("copy")).unionByName(copies)

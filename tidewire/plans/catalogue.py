@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tidewire.plans import base, formats, joins, learning, sets, statistics, texts, vectors  # noqa: F401 - they register their queries
+
+QUERIES = base.QUERIES
+ORACLES = base.ORACLES
