@@ -112,7 +112,7 @@ def shared_spans(texts: DataFrame, least: int = LEAST, gram: int = GRAM, hot: in
     # 2. the live windows' text; a document has at most one for each character
     wanted = live.groupBy("doc_id").agg(F.collect_list("signature").alias("signatures"), F.collect_list("hot").alias("hots"))
     kinds = "signature long, hot boolean, doc_id long, start int, context string"
-    contexts = cut(docs.join(wanted, "doc_id").select("doc_id", "text", "signatures", "hots").mapInArrow(_contexts(least, gram), kinds).distinct(), "spans-contexts")
+    contexts = cut(docs.join(wanted, "doc_id").select("doc_id", "text", "signatures", "hots").mapInArrow(_contexts(least, gram), kinds), "spans-contexts")
 
     # 3. the stretches in them
     spans = "doc_id long, span_start int, span_end int"
