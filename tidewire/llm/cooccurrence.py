@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tidewire.sources.tables import normalised, table
 from tidewire.storage import new_path
 
-#: Hash buckets of each table of the state.
+#: Hash buckets of each table of the state at least; a new table has as many as the session's shuffles have partitions.
 BUCKETS = 32
 KEYS = {"baskets": ["field_name", "basket"], "pairs": ["field_name", "item_a", "item_b"], "items": ["field_name", "item"]}
 SCHEMAS = {
@@ -33,11 +33,11 @@ SCHEMAS = {
 class PairTable:
     """Persistent counts of pairs and items, by field."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = BUCKETS) -> None:
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None) -> None:
         """Open the table at ``path``, or make one there; without a path in the session's shared folder."""
         self.spark, self.path = spark, path or new_path(spark, "pairs")
         self.manifest: dict[str, dict[str, str]] = {name: {} for name in KEYS}
-        self.buckets = buckets
+        self.buckets = buckets or max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self._manifest_path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest.json")
         self._fs = self._manifest_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         if self._fs.exists(self._manifest_path):
@@ -62,7 +62,7 @@ class PairTable:
         return {n.split("=")[1]: version for n in listed if n.startswith("bucket=")}
 
     def _merge(self, name: str, deltas: DataFrame) -> dict[str, str]:
-        touched = [r[0] for r in deltas.select(self._bucket(name)).distinct().collect()]  # at most BUCKETS numbers
+        touched = [r[0] for r in deltas.select(self._bucket(name)).distinct().collect()]  # as many numbers as buckets at most
         if not touched:
             return {}
         keys = KEYS[name]

@@ -8,7 +8,7 @@ there is, so the dual is damped a little: the sample's size is met exactly, each
 categories that fall short, and the least rows asked of each other category, are taken with certainty.
 
 The sample is drawn with the pivotal method: two units at a time settle their probabilities against each other until one of them is in or out. Each
-task runs along its rows in order of their set of categories, so that every set and category gets its share to within a unit or two; the last unit of
+task runs along its rows in order of their set of categories, so that every set gets its share of a task to within a unit; the last unit of
 each task is left open, and those, as many as tasks, are settled the same way at the end. Rows are spread by the hash of their key, so a
 category of a third of all rows is no more than a third of each task. Randomness is a hash of key and seed: the same task run again draws the same.
 """
