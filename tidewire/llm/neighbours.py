@@ -30,7 +30,7 @@ SIZE, K, LEAST = 64, 5, 0.85
 #: Vectors of each field that centroids and codebooks are fitted on, at most; parts of a vector; codewords of a part.
 SAMPLE, PARTS, WORDS = 20_000, 16, 256
 #: Lists at most, lists that a query visits, entries of a list that are ranked exactly, rows of a block or chunk.
-LISTS, PROBES, SHORT, ROWS = 2048, 16, 24, 4096
+LISTS, PROBES, SHORT, ROWS = 2048, 24, 16, 4096
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, seed: int, spherical: bool = False) -> np.ndarray:
