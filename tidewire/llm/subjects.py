@@ -16,6 +16,7 @@ the vocabulary. Each round is a pass over the documents with counts in local arr
 
 from __future__ import annotations
 
+import html
 import re
 from collections.abc import Iterator
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm.taxonomy import subjects_of_labels
-from tidewire.llm.words import WordHasher, chunks, ranges, words
+from tidewire.llm.words import WordHasher, chunks, words
 from tidewire.sources.tables import latest, table
 from tidewire.storage import cut
 
@@ -43,12 +44,13 @@ CHUNK = 1_000_000
 
 #: Short forms whose full stop ends no sentence.
 _TITLES = ("Mr", "Mrs", "Ms", "Dr", "Prof", "St", "Jr", "Sr", "No", "vs")
-_END = re.compile("".join(rf"(?<!\b{t}\.)" for t in _TITLES) + r"(?<=[.!?…])[\"'”’»)\]]*\s+|\s*[\r\n]+\s*|</?\w+[^<>]{0,40}>")
+_OPEN = "".join(rf"(?<!\b{t}\.)" for t in _TITLES)
+_END = re.compile(_OPEN + r"(?<=[.!?…])[\"'”’»)\]]*\s+|" + _OPEN + r"(?<=[a-z][.!?])[\"”]*(?=[A-Z“])|\s*[\r\n]+\s*|</?\w+[^<>]{0,40}>")
 
 
 def sentences(text: str | None) -> list[str]:
-    """Sentences of a text; markup and line ends separate them too."""
-    return [s for s in _END.split(text or "") if s and s.strip()]
+    """Sentences of a text, its character entities replaced; markup and line ends separate them too."""
+    return [s for s in _END.split(html.unescape(text or "")) if s.strip()]
 
 
 def _split(rows: DataFrame, place: dict[str, int], mapping: dict[str, list[str]]) -> DataFrame:
