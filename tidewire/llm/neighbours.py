@@ -30,7 +30,7 @@ SIZE, K, LEAST = 64, 5, 0.85
 #: Vectors of each field that centroids and codebooks are fitted on, at most; parts of a vector; codewords of a part.
 SAMPLE, PARTS, WORDS = 20_000, 16, 256
 #: Lists at most, lists that a query visits, entries of a list that are ranked exactly, rows of a block or chunk.
-LISTS, PROBES, SHORT, ROWS = 2048, 24, 16, 4096
+LISTS, PROBES, SHORT, ROWS = 2048, 24, 40, 4096
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, seed: int, spherical: bool = False) -> np.ndarray:
@@ -153,6 +153,7 @@ def neighbours(rows: DataFrame, k: int = K, probes: int = PROBES) -> DataFrame:
         keys, queries = rows["key"].to_numpy()[entry], rows["key"].to_numpy()[~entry]
         exact = unit(np.frombuffer(b"".join(rows["raw"]), np.float32).reshape(len(rows), SIZE).astype(np.float64))
         x, q = exact[entry], exact[~entry]
+        single = x.astype(np.float32)
         codes = np.frombuffer(b"".join(rows["code"][entry]), np.uint8).reshape(-1, PARTS)
         out_q, out_x, out_s = [], [], []
         for part in np.array_split(np.arange(len(q)), len(q) * len(x) // 2_000_000 + 1):
@@ -163,6 +164,9 @@ def neighbours(rows: DataFrame, k: int = K, probes: int = PROBES) -> DataFrame:
                 score += tables[m][:, codes[:, m]]
             n = min(SHORT, len(x))
             best = np.argpartition(-score, n - 1, axis=1)[:, :n]
+            if n > 2 * (k + 1):  # single precision tells which twice as many as wanted come first, double precision their order
+                rough = np.matmul(single[best], near[:, :, None])[:, :, 0]
+                best = np.take_along_axis(best, np.argpartition(-rough, 2 * k + 1, axis=1)[:, : 2 * k + 2], 1)
             cosine = np.einsum("qd,qnd->qn", q[part], x[best])
             cosine[keys[best] == queries[part][:, None]] = -9
             top = np.argsort(-cosine, axis=1, kind="stable")[:, : k + 1]
