@@ -9,6 +9,7 @@ from tidewire.functions import text as T
 from tidewire.operators import terms
 from tidewire.plans.base import ANN, ART, SPACE, TERM, anns, arts, query, r6
 from tidewire.sources.tables import table
+from tidewire.storage import cut
 
 #: Documents that a term has to be in more than, in these queries.
 DF = 10
@@ -22,6 +23,11 @@ def text_terms(spark, d):
     return terms.text_terms(docs(spark, d), "doc_id", "text")
 
 
+def kept_terms(spark, d):
+    """The same, written once for queries that read them several times with different columns: texts are tokenised once."""
+    return cut(text_terms(spark, d), "terms")
+
+
 @query(rf"select token, count(*) n from (select regexp_replace(w, '[^A-Za-z0-9]', '', 'g') token from (select unnest(string_split_regex(text, '{SPACE}')) w from documents)) where token <> '' group by 1")
 def token_counts(spark, d):
     return terms.word_count(docs(spark, d))
@@ -52,13 +58,13 @@ _FIT = f"{TERM}, vocab as (select term, count(*) df from terms group by 1 having
 
 @query(f"with {_FIT} select term, df, documents, round(ln(documents / df), 6) idf from vocab, n")
 def idf(spark, d):
-    vocabulary, n = terms.fit_tfidf(text_terms(spark, d), "doc", "term", DF)
+    vocabulary, n = terms.fit_tfidf(kept_terms(spark, d), "doc", "term", DF)
     return vocabulary.join(F.broadcast(n)).withColumn("idf", r6(F.log(F.col("documents") / F.col("df"))))
 
 
 @query(f'with {_FIT}, t as (select doc, terms.term, mc, "offset", mc / sum(mc) over (partition by doc) tf, case when df is null then 0 else ln(documents / df) end idf from terms left join vocab using (term), n) select doc, term, mc, "offset", round(tf, 6) tf, round(idf, 6) idf, round(tf * idf, 6) tf_idf from t')
 def tfidf(spark, d):
-    rows = text_terms(spark, d)
+    rows = kept_terms(spark, d)
     out = terms.tfidf(rows, *terms.fit_tfidf(rows, "doc", "term", DF), "doc", "term")
     return out.withColumns({c: r6(c) for c in ("tf", "idf", "tf_idf")})
 
@@ -76,7 +82,7 @@ def tfidf_annotations(spark, d):
 
 @query(f"with {_FIT}, t as (select doc, term, mc, sum(mc) over (partition by doc) s, max(mc) over (partition by doc) m, df, documents from terms join vocab using (term), n) select doc, term, round(mc / s, 6) tf_simple, round(1 + ln(mc), 6) tf_log, round(0.5 + 0.5 * mc / m, 6) tf_half, round(ln(documents / df), 6) idf, round(ln(1 + documents / df), 6) idf_smooth from t")
 def tf_variants(spark, d):
-    rows = text_terms(spark, d)
+    rows = kept_terms(spark, d)
     vocabulary, n = terms.fit_tfidf(rows, "doc", "term", DF)
     w = Window.partitionBy("doc")
     joined = rows.join(vocabulary, "term").join(F.broadcast(n))
@@ -86,14 +92,14 @@ def tf_variants(spark, d):
 
 @query(f'with {_FIT} select doc, term, mc, "offset" from terms where term in (select term from vocab)')
 def vocab_filter(spark, d):
-    rows = text_terms(spark, d)
+    rows = kept_terms(spark, d)
     return terms.vocabulary_filter(rows, terms.document_frequency(rows, "doc", "term", DF)).select("doc", "term", "mc", "offset")
 
 
 @query(f"with {_FIT}, t as (select lang, term, max(mc / s * ln(documents / df)) w from (select doc, term, mc, sum(mc) over (partition by doc) s from terms) join vocab using (term) join documents on doc_id = doc, n where lang is not null group by all) select lang, term, round(w, 6) tf_idf, rank from (select *, row_number() over (partition by lang order by round(w, 6) desc, term) rank from t) where rank <= 10")
 def top_terms_per_lang(spark, d):
     """The ten terms of greatest TF-IDF in each language."""
-    rows = text_terms(spark, d)
+    rows = kept_terms(spark, d)
     weighted = terms.tfidf(rows, *terms.fit_tfidf(rows, "doc", "term", DF), "doc", "term").where("idf > 0 or tf_idf = 0")
     named = weighted.join(terms.document_frequency(rows, "doc", "term", DF).select("term"), "term", "left_semi")
     langs = docs(spark, d).where("lang is not null").select(F.col("doc_id").alias("doc"), "lang")
