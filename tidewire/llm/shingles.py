@@ -101,7 +101,7 @@ def bucket_pairs(table: DataFrame, close: Callable[[np.ndarray, np.ndarray], np.
     close(prints, prints) is what hot buckets' blocks emit; it must hold for every pair that counts.
     """
     flags = ["tr", "ev"] if sides else []
-    rows = table.select("id", *flags, F.explode("bands").alias("key")).distinct()
+    rows = table.select("id", *flags, F.explode("bands").alias("key"))  # an id is one row, and its keys differ
     measure = [F.count("*").alias("n"), *[F.max(c).alias(f"any_{c}") for c in flags]]
     sizes = rows.groupBy("key").agg(*measure).where("n > 1" + " and any_tr and any_ev" * sides).select("key", "n")
     live = cut(rows.join(sizes, "key"), "buckets")
