@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewire.llm import cooccurrence, encoding, frequency, leakage, near_duplicates, neighbours, proportions, spans, split_overlap, subjects
+from tidewire.llm import cooccurrence, encoding, frequency, leakage, near_duplicates, neighbours, proportions, spans, split_overlap, sql, subjects
 
 QUERIES = {
     "p1_found": proportions.p1_found,
@@ -27,4 +27,4 @@ QUERIES = {
     "p10_share": spans.p10_share,
 }
 
-ORACLES: dict[str, str] = proportions.ORACLES | frequency.ORACLES | cooccurrence.ORACLES
+ORACLES: dict[str, str] = proportions.ORACLES | frequency.ORACLES | cooccurrence.ORACLES | sql.ORACLES
