@@ -176,7 +176,7 @@ def supersample_labels(articles: DataFrame, cap: int | None = None, seed: int =
     counts = counts.join(F.broadcast(counts.agg(most.alias("_most"))))
     all_places = with_index(rows, "label", "id")
     first = all_places.groupBy("label").agg(F.min("idx").alias("_first"))
-    placed = all_places.join(F.broadcast(first), "label").withColumn("idx", (F.col("idx") - F.col("_first")).cast("int"))
+    placed = all_places.join(first, "label").withColumn("idx", (F.col("idx") - F.col("_first")).cast("int"))
     wanted = numbered(counts.withColumn("_missing", F.col("_most") - F.col("_n")), "_missing", "copy").withColumn("copy", F.col("copy") + 1)
     picked = wanted.withColumn("idx", F.floor(share("label", "copy", seed=seed) * F.col("_n")).cast("int"))
     copies = placed.join(picked.select("label", "idx", "copy"), ["label", "idx"]).select("label", "id", "copy")
