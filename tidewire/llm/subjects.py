@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewire.llm.taxonomy import subjects_of_labels
@@ -255,5 +255,4 @@ def p4_makeup(spark: SparkSession, folder: str) -> DataFrame:
     """The collection by subject: its articles, and its part of all sentences with a subject."""
     found = classify(*(table(spark, folder, name) for name in ("articles", "topics", "topic_edges", "subject_labels")))
     sums = found.groupBy("subject").agg(F.count_if(F.col("n_subject") * PART >= F.col("n_sentences")).alias("articles"), F.sum("n_subject").alias("sentences"))
-    total = found.agg(F.sum("n_subject").alias("all_sentences"))
-    return sums.join(F.broadcast(total)).withColumn("share", F.col("sentences") / F.col("all_sentences")).drop("all_sentences")
+    return sums.withColumn("share", F.col("sentences") / F.sum("sentences").over(Window.partitionBy()))
