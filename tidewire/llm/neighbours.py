@@ -2,7 +2,7 @@
 
 Inverted file with product quantisation. Coarse centroids and the codebooks of residuals are fitted on a bounded sample; every vector is then
 indexed: it is in the list of its nearest centroid, with a byte for each of ``PARTS`` parts of its residual. Each vector is also a query and visits
-the ``PROBES`` lists nearest to it. In a list, the asymmetric distance tables of the query - the inner products of its parts with all codewords - give
+the ``SHARE`` of all lists that is nearest to it, at least ``PROBES``, so that the searched part of the index is the same at any size. In a list, the asymmetric distance tables of the query - the inner products of its parts with all codewords - give
 a score for every entry; the best ``SHORT`` of a list are ranked again by their exact cosine, in double precision, from the vectors that lie beside the
 codes. The best of all lists visited are the result. Vectors are unit vectors, so the inner product is the cosine.
 
@@ -14,6 +14,7 @@ Accuracy: with the default settings, measured against brute force, in the README
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +30,10 @@ from tidewire.storage import cut
 SIZE, K, LEAST = 64, 5, 0.85
 #: Vectors of each field that centroids and codebooks are fitted on, at most; parts of a vector; codewords of a part.
 SAMPLE, PARTS, WORDS = 20_000, 16, 256
-#: Lists at most, lists that a query visits, entries of a list that are ranked exactly, rows of a block or chunk.
+#: Lists at most, lists that a query visits at least, entries of a list that are ranked exactly, rows of a block or chunk.
 LISTS, PROBES, SHORT, ROWS = 2048, 24, 40, 4096
+#: Lists that a query visits, of all.
+SHARE = 1 / 3
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, seed: int, spherical: bool = False) -> np.ndarray:
@@ -89,7 +92,12 @@ def valid(rows: DataFrame) -> DataFrame:
     return kept.groupBy("field_name", "key").agg(F.max("v").alias("v"))
 
 
-def neighbours(rows: DataFrame, k: int = K, probes: int = PROBES) -> DataFrame:
+def visited(lists: int, probes: int = PROBES, share: float = SHARE) -> int:
+    """How many of the lists a query visits."""
+    return min(lists, max(probes, math.ceil(share * lists)))
+
+
+def neighbours(rows: DataFrame, k: int = K, probes: int = PROBES, share: float = SHARE) -> DataFrame:
     """(field_name, key, other, cosine, rank): the k most similar other keys of the same field, by greatest cosine, of equal ones the least key.
 
     rows: (field_name, key, v array<float>). Null, wrong-sized, non-finite and all-zero vectors and null keys are left out; a key that repeats counts once. Keys with
@@ -122,7 +130,7 @@ def neighbours(rows: DataFrame, k: int = K, probes: int = PROBES) -> DataFrame:
                 for part in np.array_split(at, len(at) // 4096 + 1):
                     u = unit(x[part].astype(np.float64)).astype(np.float32)
                     near = u @ q.centroids.T
-                    visit = min(probes, near.shape[1])
+                    visit = visited(near.shape[1], probes, share)
                     first = np.argpartition(-near, visit - 1, axis=1)[:, :visit]
                     own = near.argmax(1)
                     code = q.code(u, own)
