@@ -22,3 +22,22 @@ def test_recall_of_visits_beyond_the_tested_tables():
 
 def test_visits_grow_with_the_lists():
     assert [neighbours.visited(n) for n in (1, 24, 54, 171, 541, 2048)] == [1, 24, 24, 57, 181, 683]
+
+
+def test_dense_copies_are_ranked_exactly(spark):
+    """120 copies of a direction of other lengths, 150 distinct ones close together and 100 others: the five of brute force for each, of equal cosines the least keys."""
+    rng = np.random.default_rng(6)
+    v, w = rng.normal(size=(2, neighbours.SIZE))
+    x = np.concatenate([v * rng.uniform(0.3, 3, (120, 1)), w + rng.normal(0, 1e-3, (150, neighbours.SIZE)), rng.normal(size=(100, neighbours.SIZE))]).astype(np.float32)
+    keys = [f"k{i:03}" for i in rng.permutation(len(x))]
+    made = spark.createDataFrame([("f", key, row.tolist()) for key, row in zip(keys, x, strict=True)], "field_name string, key string, v array<float>")
+    got = {}
+    for r in neighbours.neighbours(made).collect():
+        got.setdefault(r["key"], {})[r["rank"]] = r["other"]
+    order = np.argsort(keys)
+    u = neighbours.unit(x.astype(float))[order]
+    cosine = np.round(u @ u.T, 10)
+    np.fill_diagonal(cosine, -9)
+    for i, row in enumerate(cosine):
+        best = np.argsort(-row, kind="stable")[: neighbours.K]
+        assert [got[keys[order[i]]][r] for r in range(1, neighbours.K + 1)] == [keys[order[j]] for j in best]

@@ -2,12 +2,13 @@
 
 Inverted file with product quantisation. Coarse centroids and the codebooks of residuals are fitted on a bounded sample; every vector is then
 indexed: it is in the list of its nearest centroid, with a byte for each of ``PARTS`` parts of its residual. Each vector is also a query and visits
-the ``SHARE`` of all lists that is nearest to it, at least ``PROBES``, so that the searched part of the index is the same at any size. In a list, the asymmetric distance tables of the query - the inner products of its parts with all codewords - give
-a score for every entry; the best ``SHORT`` of a list are ranked again by their exact cosine, in double precision, from the vectors that lie beside the
-codes. The best of all lists visited are the result. Vectors are unit vectors, so the inner product is the cosine.
+the ``SHARE`` of all lists that is nearest to it, at least ``PROBES``, so that the searched part of the index is the same at any size. In a list, the asymmetric
+distance tables of the query - the inner products of its parts with all codewords - give a score for every entry, and the length of what its code leaves out bounds the score's error. Entries that
+can't be among the best so far are left; all others are ranked by their exact cosine, in double precision, from the vectors that lie beside the codes. So nothing is lost in a list, and entries of the same cosine come by key,
+however many they are. The best of all lists visited are the result. Vectors are unit vectors, so the inner product is the cosine.
 
-Keys with the same vector are one entry with its least keys, so a vector that a third of all keys share is searched once. Lists of
-more than ``ROWS`` entries are cut into blocks, and queries of a list into chunks; each task compares one chunk with one block, both bounded.
+Keys whose vectors have the same direction to twelve digits are one entry with its least keys, so a vector that a third of all keys share is searched once. Lists that follow one another are a shelf of
+about ``ROWS`` entries; shelves of more than twice as many are cut into blocks, and queries of a shelf into chunks; each task compares one chunk with one block, both bounded.
 
 Accuracy: with the default settings, measured against brute force, in the README.
 """
@@ -30,8 +31,8 @@ from tidewire.storage import cut
 SIZE, K, LEAST = 64, 5, 0.85
 #: Vectors of each field that centroids and codebooks are fitted on, at most; parts of a vector; codewords of a part.
 SAMPLE, PARTS, WORDS = 20_000, 16, 256
-#: Lists at most, lists that a query visits at least, entries of a list that are ranked exactly, rows of a block or chunk.
-LISTS, PROBES, SHORT, ROWS = 2048, 24, 40, 4096
+#: Lists at most, lists that a query visits at least, entries of a shelf (a block or chunk has twice as many at most).
+LISTS, PROBES, ROWS = 2048, 24, 4096
 #: Lists that a query visits, of all.
 SHARE = 1 / 3
 
@@ -85,6 +86,14 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def direction(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (field_name, key, v) with ``d``: the unit vector's components in units of 1e-12, the same for vectors that differ in length only, but for rounding."""
+    for batch in batches:
+        x = unit(batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, SIZE).astype(np.float64)) if len(batch) else np.zeros((0, SIZE))
+        d = [r.tobytes() for r in np.rint(x * 1e12).astype(np.int64)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(d, pa.binary())], ["field_name", "key", "v", "d"])
+
+
 def valid(rows: DataFrame) -> DataFrame:
     """Rows of (field_name, key, v) with a key and a vector of ``SIZE`` finite components, not all zero; each key once (of several vectors the greatest)."""
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -97,14 +106,57 @@ def visited(lists: int, probes: int = PROBES, share: float = SHARE) -> int:
     return min(lists, max(probes, math.ceil(share * lists)))
 
 
+def best_of(q: np.ndarray, visits: list, x: np.ndarray, own: np.ndarray, codes: np.ndarray, itself: np.ndarray, centroids: np.ndarray, words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, entry, cosine), by place: the k entries of greatest cosine for each query in the lists it visits; of cosines that are the same to ten digits the first entries.
+
+    q, x: unit vectors of queries and entries; visits: each query's lists; own, codes: each entry's list and codewords; itself: the entry that is the query, or -1.
+    """
+    near = q.astype(np.float32)
+    coded = centroids[own] + np.concatenate([words[m, codes[:, m]] for m in range(PARTS)], axis=1)
+    error = np.linalg.norm(x - coded, axis=1).astype(np.float32) + np.float32(1e-5)  # of a score, at most; single precision adds less than 1e-5
+    who = np.repeat(np.arange(len(q)), [len(v) for v in visits])
+    where = np.concatenate(visits).astype(int)
+    least = np.full(len(q), -9.0)  # no entry below it is among a query's best
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for list_ in np.unique(own):
+        held, asking = np.flatnonzero(own == list_), who[where == list_]
+        for part in np.array_split(asking, len(asking) * len(held) // 1_000_000 + 1):
+            if not len(part):
+                continue
+            tables = np.einsum("qmw,mkw->mqk", near[part].reshape(len(part), PARTS, -1), words, optimize=True)
+            score = (near[part] @ centroids[list_])[:, None] + error[held][None, :]
+            for m in range(PARTS):
+                score += tables[m][:, codes[held, m]]
+            able = score >= least[part][:, None] - 1e-9
+            for some in np.array_split(held[able.any(axis=0)], len(held) // 8192 + 1):
+                if not len(some):
+                    continue
+                cosine = np.round(q[part] @ x[some].T, 10)
+                cosine[some[None, :] == itself[part][:, None]] = -9
+                if len(some) >= k:
+                    least[part] = np.maximum(least[part], np.partition(cosine, len(some) - k, axis=1)[:, len(some) - k])
+                bound = np.maximum(least[part], -8)[:, None]
+                same = cosine == bound
+                row, column = np.nonzero((cosine > bound) | (same & (np.cumsum(same, axis=1) <= k)))
+                out.append((part[row], some[column], cosine[row, column]))
+    query, entry, cosine = (np.concatenate(a) for a in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    kept = cosine >= least[query]
+    query, entry, cosine = query[kept], entry[kept], cosine[kept]
+    order = np.lexsort((entry, -cosine, query))
+    query, entry, cosine = query[order], entry[order], cosine[order]
+    first = np.arange(len(query)) - np.searchsorted(query, query) < k
+    query, entry = query[first], entry[first]
+    return query, entry, np.einsum("nd,nd->n", q[query], x[entry])
+
+
 def neighbours(rows: DataFrame, k: int = K, probes: int = PROBES, share: float = SHARE) -> DataFrame:
     """(field_name, key, other, cosine, rank): the k most similar other keys of the same field, by greatest cosine, of equal ones the least key.
 
     rows: (field_name, key, v array<float>). Null, wrong-sized, non-finite and all-zero vectors and null keys are left out; a key that repeats counts once. Keys with
-    the same vector have cosine 1. Cosines equal to ten digits are ties. Fields may be of any number but few, as each has its own centroids.
+    the same direction have cosine 1. Cosines equal to ten digits are ties. Fields may be of any number but few, as each has its own centroids.
     """
     spark = rows.sparkSession
-    vectors = cut(valid(rows).withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(3), "v")), "p2-vectors")
+    vectors = cut(valid(rows).select("field_name", "key", "v").mapInArrow(direction, "field_name string, key string, v array<float>, d binary").withColumn("h1", F.xxhash64("d")).withColumn("h2", F.xxhash64(F.lit(3), "d")).drop("d"), "p2-vectors")
     same = ["field_name", "h1", "h2"]
     sized = vectors.groupBy(*same).agg(F.min("key").alias("rep"), F.count("*").alias("n"))
     members = cut(vectors.select("key", *same).join(sized, same).drop("h1", "h2"), "p2-members")
@@ -117,6 +169,7 @@ def neighbours(rows: DataFrame, k: int = K, probes: int = PROBES, share: float =
         fitted[field] = Quantiser(unit(np.stack(some.to_list()).astype(np.float64)).astype(np.float32), n)
     if not fitted:
         return spark.createDataFrame([], "field_name string, key string, other string, cosine double, rank int")
+    per = {f: max(1, ROWS * len(q.centroids) // totals[f]) for f, q in fitted.items()}  # lists of a shelf
     shared = spark.sparkContext.broadcast({f: (q.centroids, q.words) for f, q in fitted.items()})  # bounded by LISTS and WORDS
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,50 +193,31 @@ def neighbours(rows: DataFrame, k: int = K, probes: int = PROBES, share: float =
 
     placed = cut(entries.mapInArrow(assign, "field_name string, key string, raw binary, own int, code binary, visits array<int>"), "p2-placed")
 
-    # how many blocks a list has, how many chunks its queries: as many numbers as lists
-    index = placed.select("field_name", "key", "raw", "code", F.col("own").alias("list"))
-    asked = placed.select("field_name", "key", "raw", F.explode("visits").alias("list"))
-    parts = lambda df, name: df.groupBy("field_name", "list").agg(F.ceil(F.count("*") / ROWS).cast("int").alias(name))
-    plan = cut(parts(index, "blocks").join(parts(asked, "chunks"), ["field_name", "list"]), "p2-plan")
+    # how many blocks a shelf has, how many chunks its queries: no more numbers than lists
+    width = F.create_map(*[F.lit(x) for f in per.items() for x in f])[F.col("field_name")]
+    shelf = lambda x: F.floor(x / width).cast("int")
+    index = placed.select("field_name", "key", "raw", "code", F.col("own"), shelf(F.col("own")).alias("shelf"))
+    asked = placed.select("field_name", "key", "raw", "visits", F.explode(F.array_distinct(F.transform("visits", shelf))).alias("shelf")).withColumn("visits", F.filter("visits", lambda x: shelf(x) == F.col("shelf")))
+    parts = lambda df, name: df.groupBy("field_name", "shelf").agg(F.ceil(F.count("*") / (2 * ROWS)).cast("int").alias(name))
+    plan = cut(parts(index, "blocks").join(parts(asked, "chunks"), ["field_name", "shelf"]), "p2-plan")
     slot = lambda n: F.pmod(F.xxhash64(F.lit(1), "key"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    index = index.join(F.broadcast(plan), ["field_name", "list"]).withColumn("block", slot("blocks")).withColumn("chunk", every("chunks"))
-    asked = asked.join(F.broadcast(plan), ["field_name", "list"]).withColumn("chunk", slot("chunks")).withColumn("block", every("blocks"))
-    group = ["field_name", "list", "block", "chunk"]
-    both = index.select(*group, "key", "raw", "code").unionByName(asked.select(*group, "key", "raw", F.lit(None).cast("binary").alias("code")))
+    index = index.join(F.broadcast(plan), ["field_name", "shelf"]).withColumn("block", slot("blocks")).withColumn("chunk", every("chunks"))
+    asked = asked.join(F.broadcast(plan), ["field_name", "shelf"]).withColumn("chunk", slot("chunks")).withColumn("block", every("blocks"))
+    group = ["field_name", "shelf", "block", "chunk"]
+    both = index.withColumn("visits", F.lit(None).cast("array<int>")).select(*group, "key", "raw", "code", "own", "visits")
+    both = both.unionByName(asked.select(*group, "key", "raw", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("int").alias("own"), "visits"))
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         entry = rows["code"].notna().to_numpy()
         if not entry.any() or entry.all():
             return pd.DataFrame(columns=["field_name", "key", "other", "cosine"])
-        field, list_ = rows["field_name"].iloc[0], rows["list"].iloc[0]
-        centroids, words = shared.value[field]
-        keys, queries = rows["key"].to_numpy()[entry], rows["key"].to_numpy()[~entry]
-        exact = unit(np.frombuffer(b"".join(rows["raw"]), np.float32).reshape(len(rows), SIZE).astype(np.float64))
-        x, q = exact[entry], exact[~entry]
-        single = x.astype(np.float32)
-        codes = np.frombuffer(b"".join(rows["code"][entry]), np.uint8).reshape(-1, PARTS)
-        out_q, out_x, out_s = [], [], []
-        for part in np.array_split(np.arange(len(q)), len(q) * len(x) // 2_000_000 + 1):
-            near = q[part].astype(np.float32)
-            tables = np.einsum("qmw,mkw->mqk", near.reshape(len(part), PARTS, -1), words, optimize=True)
-            score = np.repeat((near @ centroids[list_])[:, None], len(x), axis=1)
-            for m in range(PARTS):
-                score += tables[m][:, codes[:, m]]
-            n = min(SHORT, len(x))
-            best = np.argpartition(-score, n - 1, axis=1)[:, :n]
-            if n > 2 * (k + 1):  # single precision tells which twice as many as wanted come first, double precision their order
-                rough = np.matmul(single[best], near[:, :, None])[:, :, 0]
-                best = np.take_along_axis(best, np.argpartition(-rough, 2 * k + 1, axis=1)[:, : 2 * k + 2], 1)
-            cosine = np.einsum("qd,qnd->qn", q[part], x[best])
-            cosine[keys[best] == queries[part][:, None]] = -9
-            top = np.argsort(-cosine, axis=1, kind="stable")[:, : k + 1]
-            rows_ = np.repeat(part, top.shape[1])
-            out_q.append(queries[rows_])
-            out_x.append(keys[np.take_along_axis(best, top, 1)].reshape(-1))
-            out_s.append(np.take_along_axis(cosine, top, 1).reshape(-1))
-        found = pd.DataFrame({"field_name": field, "key": np.concatenate(out_q), "other": np.concatenate(out_x), "cosine": np.concatenate(out_s)})
-        return found[found["cosine"] > -2]
+        field = rows["field_name"].iloc[0]
+        index, asking = rows[entry].sort_values("key"), rows[~entry]
+        vectors = lambda df: unit(np.frombuffer(b"".join(df["raw"]), np.float32).reshape(len(df), SIZE).astype(np.float64))
+        codes = np.frombuffer(b"".join(index["code"]), np.uint8).reshape(-1, PARTS)
+        at, others, cosine = best_of(vectors(asking), asking["visits"].to_list(), vectors(index), index["own"].to_numpy(int), codes, pd.Index(index["key"]).get_indexer(asking["key"]), *shared.value[field], k)
+        return pd.DataFrame({"field_name": field, "key": asking["key"].to_numpy()[at], "other": index["key"].to_numpy()[others], "cosine": cosine})
 
     found = both.groupBy(*group).applyInPandas(compare, "field_name string, key string, other string, cosine double")
     ranked = lambda df: df.withColumn("rank", F.row_number().over(Window.partitionBy("field_name", "key").orderBy(F.round("cosine", 10).desc(), "other"))).where(F.col("rank") <= k)
