@@ -155,3 +155,12 @@ def test_vectors(spark):
     assert others("k00") == ["k01", "k02", "k03", "k04", "k05"] and others("k07") == ["k00", "k01", "k02", "k03", "k04"] and others("s") == ["k00", "k01", "k02", "k03", "k04"]
     assert len(got["w"]) == 5
     assert neighbours.neighbours(made.where("false")).count() == 0
+
+
+def test_leak_longer_than_a_passage(spark):
+    """A run that crosses the grid of passages, or is longer than one, counts whole."""
+    item = [f"w{i}" for i in range(80)]
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    docs = {1: (30, item[:30]), 2: (5, item), 3: (40, item[20:75]), 4: (3, item[:20] + ["x"] + item[21:45])}
+    made = spark.createDataFrame([(i, " ".join([f"o{k}" for k in range(n)] + w + ["end"])) for i, (n, w) in docs.items()], "doc_id long, text string")
+    assert {r["doc_id"]: r["run_words"] for r in leakage.leaks(made, items).collect()} == {1: 30, 2: 80, 3: 55, 4: 24}

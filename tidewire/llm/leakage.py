@@ -97,7 +97,7 @@ def passages(sizes: np.ndarray, run: int, length: int) -> tuple[np.ndarray, np.n
 def leaks(texts: DataFrame, items: DataFrame, run: int = RUN, passage: int = PASSAGE, index_chars: int = INDEX_CHARS) -> DataFrame:
     """Items that leaked into texts: (doc_id, item_id, run_words, score), a row for each text and item with ``run`` consecutive words in common.
 
-    run_words is the longest common run found in one passage, score the greatest BM25 score of a passage. Null, empty and short texts
+    run_words is the longest common run of the whole text, also where it goes on beyond a passage; score the greatest BM25 score of a passage. Null, empty and short texts
     and items have no rows; so have rows with a null id. Repeated rows of an id count as one text each and give one row. Other columns aren't
     read. Texts are searched whole.
     """
@@ -136,19 +136,28 @@ def _search(spark: SparkSession, index: Index, run: int, length: int):
                 pair = np.unique(np.repeat(np.arange(len(doc)), n) * (len(index.vocab) + 1) + number[ranges(start, n)] + 1)
                 owner, term = pair // (len(index.vocab) + 1), pair % (len(index.vocab) + 1) - 1
                 of, item, score = index.search(owner[term >= 0], term[term >= 0], len(doc))
-                out = []
+                out, end = [], np.cumsum(size)
                 for p, i, s in zip(of.tolist(), item.tolist(), score.tolist(), strict=True):
                     if i not in runs:
                         if len(runs) > 50_000:
                             runs.clear()
-                        runs[i] = {tuple(index.words[i][k : k + run]) for k in range(len(index.words[i]) - run + 1)}
-                    own = flat[start[p] : start[p] + n[p]]
-                    most = now = 0
-                    for k in range(len(own) - run + 1):
-                        now = now + 1 if tuple(own[k : k + run]) in runs[i] else 0
-                        most = max(most, now)
+                        runs[i] = {}
+                        for k in range(len(index.words[i]) - run + 1):
+                            runs[i].setdefault(tuple(index.words[i][k : k + run]), []).append(k)
+                    words, most = index.words[i], 0
+                    for k in range(start[p], start[p] + n[p] - run + 1):
+                        for at in runs[i].get(tuple(flat[k : k + run]), ()):
+                            if k > start[p] and at and flat[k - 1] == words[at - 1]:
+                                continue  # within the run that began before
+                            left = 0
+                            while left < at and k - left > end[doc[p]] - size[doc[p]] and flat[k - left - 1] == words[at - left - 1]:
+                                left += 1
+                            right = run
+                            while at + right < len(words) and k + right < end[doc[p]] and flat[k + right] == words[at + right]:
+                                right += 1
+                            most = max(most, left + right)
                     if most:
-                        out.append((int(ids[part.start + doc[p]]), int(index.ids[i]), most + run - 1, s))
+                        out.append((int(ids[part.start + doc[p]]), int(index.ids[i]), most, s))
                 if out:
                     yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["doc_id", "item_id", "run_words", "score"]).astype({"run_words": "int32"}), preserve_index=False)
 
