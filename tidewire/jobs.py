@@ -196,14 +196,17 @@ def lengths(spark, c):
 @job("tnesDocumentVectors")
 def document_plane(spark, c):
     held = document_features(spark, c, "w2v").withColumn("label", F.get("iptc", F.lit(0)))
-    return projection.neighbour_map(held.orderBy("id").limit(c.limit or 1000), "id", "features", "label", rounds=200)
+    held = held.orderBy("id").limit(c.limit) if c.limit else held
+    return projection.whole_map(held, "id", "features", "label", "id", rounds=200)
 
 
 @job("tnesWordVectors")
 def word_plane(spark, c):
     labels = stats.labels_of(articles(spark, c, "iptc"))
     modes = stats.mode_label(annotations(spark, c).select(F.col("article_id").alias("id"), "term").join(labels, "id"), "term", "label")
-    return projection.neighbour_map(embeddings(spark, c).join(modes, "term").orderBy(F.desc("n"), "term").limit(c.limit or 1000), "term", "v", "label", rounds=200)
+    rows = embeddings(spark, c).join(modes, "term")
+    rows = rows.orderBy(F.desc("n"), "term").limit(c.limit) if c.limit else rows
+    return projection.whole_map(rows, "term", "v", "label", F.desc("n"), rounds=200)
 
 
 # --- training and evaluation -----------------------------------------------------------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA
@@ -62,3 +64,27 @@ def neighbour_map(rows: DataFrame, key: str, vector: str, label: str, **settings
         raise ValueError(f"at most {MOST} points; use principal components")
     y = tsne(np.stack(held[vector].to_list()).astype(float), **settings) if len(held) else np.zeros((0, 2))
     return rows.sparkSession.createDataFrame(pd.DataFrame({key: held[key], label: held[label], "x": y[:, 0], "y": y[:, 1]}), f"{key} string, {label} string, x double, y double")
+
+
+def whole_map(rows: DataFrame, key: str, vector: str, label: str, *order, most: int = MOST, near: int = 10, **settings) -> DataFrame:
+    """(key, label, x, y) of all rows: the first ``most`` of the order are embedded, each further one is placed at the mean of the ``near`` embedded ones nearest to it, by the inverse of the squared distance."""
+    held = rows.orderBy(*order, key).limit(most).select(key, vector).toPandas()
+    x = np.stack(held[vector].to_list()).astype(float) if len(held) else np.zeros((0, 1))
+    shared = rows.sparkSession.sparkContext.broadcast((dict(zip(held[key], range(len(held)), strict=True)), x, tsne(x, **settings)))  # at most ``most`` points
+
+    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, x, y = shared.value
+        for frame in frames:
+            for start in range(0, len(frame), 500):
+                part = frame.iloc[start : start + 500]
+                v = np.stack(part[vector].to_list()).astype(float)
+                distance = np.maximum((v * v).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * v @ x.T, 1e-12)
+                best = np.argpartition(distance, min(near, len(x)) - 1, axis=1)[:, :near]
+                weight = 1 / np.take_along_axis(distance, best, 1)
+                point = (y[best] * weight[:, :, None]).sum(1) / weight.sum(1)[:, None]
+                for i, k in enumerate(part[key]):
+                    if k in at:
+                        point[i] = y[at[k]]
+                yield pd.DataFrame({key: part[key], label: part[label], "x": point[:, 0], "y": point[:, 1]})
+
+    return rows.select(key, label, vector).mapInPandas(place, f"{key} string, {label} string, x double, y double")

@@ -127,8 +127,8 @@ def projection_pca(spark, d):
 
 @query()
 def projection_tsne(spark, d):
-    """Key vectors in the plane by stochastic neighbour embedding, with their most frequent label; of the annotations with the most mentions, as many as the plane takes."""
-    return projection.neighbour_map(emb(spark, d).join(_modes(spark, d), "term").orderBy(F.desc("n"), "term").limit(300), "term", "v", "label", rounds=100)
+    """Key vectors in the plane by stochastic neighbour embedding, with their most frequent label; as many as the plane takes of those with the most mentions are embedded, the rest is placed by its nearest."""
+    return projection.whole_map(emb(spark, d).join(_modes(spark, d), "term"), "term", "v", "label", F.desc("n"), rounds=100)
 
 
 def _modes(spark, d):
