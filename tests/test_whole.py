@@ -22,3 +22,18 @@ def test_projection_tsne_keeps_all_keys(spark):
 
     wanted = emb(spark, MORE).join(_modes(spark, MORE), "term").count()
     assert QUERIES["projection_tsne"](spark, MORE).count() == wanted > 300
+
+
+def test_nets_and_bayes_are_trained_for_all_categories(spark, monkeypatch):
+    from tidewire.operators import models, neural
+    from tidewire.plans.statistics import CATEGORIES
+
+    seen = []
+    monkeypatch.setattr(neural, "fit_each", lambda rows, labels, categories, make, **s: seen.append((categories, getattr(make(), "layers", None), s.get("rounds"))) or {})
+    monkeypatch.setattr(neural, "predict", lambda rows, nets: rows.selectExpr("id", "array('') pred"))
+    monkeypatch.setattr(models, "each_category", lambda rows, labels, categories, fit, **s: seen.append((categories, None, None)) or {})
+    monkeypatch.setattr(models, "predicted", lambda rows, fitted: rows.selectExpr("id", "array('') pred"))
+    for name in ("feed_forward", "recurrent", "nb_ml", "feed_forward_ml"):
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert seen == [(CATEGORIES, (64, 700, 500, 2), None), (CATEGORIES, None, None), (CATEGORIES, None, None), (CATEGORIES, None, None)]
+    assert {r["category"] for r in QUERIES["nb_priors_all"](spark, "/root/testdata/sf0.001").collect()} == set(CATEGORIES)

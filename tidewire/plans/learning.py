@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewire.operators import models, neural, projection, splits, stats, terms, vectors
-from tidewire.plans.base import ANN, ART, LAB, anns, arts, query, r6
+from tidewire.plans.base import ANN, ART, LAB, ORACLES, anns, arts, query, r6
 from tidewire.plans.statistics import CATEGORIES
 from tidewire.plans.vectors import emb, weighted
 from tidewire.sources.tables import table
@@ -54,6 +54,33 @@ def nb_predict(spark, d):
     return out.select("id", "category", F.round("margin", 5).alias("margin"), (F.col("margin") > 0).alias("predicted"))
 
 
+def _whole(name):
+    """The SQL of a query over four categories, over all."""
+    return ORACLES[name].replace(_CATS, ", ".join(f"'{c}'" for c in CATEGORIES))
+
+
+@query(_whole("nb_priors"))
+def nb_priors_all(spark, d):
+    """nb_priors for all categories; so the next two."""
+    prior, _ = models.nb_counts(bags(spark, d), labels(spark, d), CATEGORIES)
+    return prior.withColumn("prior", r6("prior"))
+
+
+@query(_whole("nb_params"))
+def nb_params_all(spark, d):
+    _, weights = models.nb_counts(bags(spark, d), labels(spark, d), CATEGORIES)
+    return weights.withColumn("weight", r6("weight"))
+
+
+@query(_whole("nb_predict"))
+def nb_predict_all(spark, d):
+    prior, weights = models.nb_counts(bags(spark, d), labels(spark, d), CATEGORIES)
+    test = arts(spark, d, "split_name").where("split_name = 'test'").select("id")
+    rows = anns(spark, d).select(F.col("article_id").alias("id"), "term", F.col("mc").alias("w")).join(test, "id", "left_semi")
+    out = models.nb_predict(rows, prior, weights)
+    return out.select("id", "category", F.round("margin", 5).alias("margin"), (F.col("margin") > 0).alias("predicted"))
+
+
 def _documents(spark, d, normalise=False):
     """Articles with a vector of features and their labels."""
     held = vectors.document_vectors(weighted(spark, d), emb(spark, d), normalise).withColumnRenamed("article_id", "id")
@@ -69,31 +96,31 @@ def _said(rows, pred):
 def nb_ml(spark, d):
     """Spark's naive Bayes for each label, on normalised document vectors."""
     rows = models.features(_documents(spark, d, normalise=True), "numbers")
-    fitted = models.each_category(rows.where("split_name = 'train'"), "iptc", SOME, models.naive_bayes(), parallelism=2)
+    fitted = models.each_category(rows.where("split_name = 'train'"), "iptc", CATEGORIES, models.naive_bayes(), parallelism=2)
     return _said(rows, models.predicted(rows.where("split_name = 'test'"), fitted))
 
 
 @query()
 def feed_forward(spark, d):
-    """A feed-forward net with tanh layers for a label."""
+    """A feed-forward net with tanh layers for each label."""
     rows = _documents(spark, d).withColumnRenamed("numbers", "features")
-    nets = neural.fit_each(rows.where("split_name = 'train'"), "iptc", ["science"], lambda: neural.FeedForward((64, 32, 2)), rounds=2, workers=4)
+    nets = neural.fit_each(rows.where("split_name = 'train'"), "iptc", CATEGORIES, lambda: neural.FeedForward((64, 700, 500, 2)), workers=4)
     return _said(rows, neural.predict(rows.where("split_name = 'test'"), nets))
 
 
 @query()
 def feed_forward_ml(spark, d):
-    """Spark's multilayer perceptron for a label."""
+    """Spark's multilayer perceptron for each label."""
     rows = models.features(_documents(spark, d), "numbers")
-    fitted = models.each_category(rows.where("split_name = 'train'"), "iptc", ["science"], models.feed_forward(64, (16,), rounds=20))
+    fitted = models.each_category(rows.where("split_name = 'train'"), "iptc", CATEGORIES, models.feed_forward(64))
     return _said(rows, models.predicted(rows.where("split_name = 'test'"), fitted))
 
 
 @query()
 def recurrent(spark, d):
-    """A recurrent net over the sequence of an article's annotation vectors for a label."""
+    """A recurrent net over the sequence of an article's annotation vectors for each label."""
     rows = vectors.sequences(anns(spark, d), emb(spark, d), 20).select(F.col("article_id").alias("id"), F.col("steps").alias("features")).join(arts(spark, d, "iptc", "split_name"), "id")
-    nets = neural.fit_each(rows.where("split_name = 'train'"), "iptc", ["science"], lambda: neural.Recurrent(64, 10), rounds=2, workers=4)
+    nets = neural.fit_each(rows.where("split_name = 'train'"), "iptc", CATEGORIES, lambda: neural.Recurrent(64), workers=4)
     return _said(rows, neural.predict(rows.where("split_name = 'test'"), nets))
 
 
