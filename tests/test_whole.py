@@ -37,3 +37,14 @@ def test_nets_and_bayes_are_trained_for_all_categories(spark, monkeypatch):
         QUERIES[name](spark, "/root/testdata/sf0.001")
     assert seen == [(CATEGORIES, (64, 700, 500, 2), None), (CATEGORIES, None, None), (CATEGORIES, None, None), (CATEGORIES, None, None)]
     assert {r["category"] for r in QUERIES["nb_priors_all"](spark, "/root/testdata/sf0.001").collect()} == set(CATEGORIES)
+
+
+def test_sequences_hold_more_than_twenty(spark, monkeypatch):
+    from tidewire.operators import neural
+
+    seen = []
+    monkeypatch.setattr(neural, "fit_each", lambda rows, *a, **s: seen.append(rows.selectExpr("size(features) n").distinct().collect()) or {})
+    monkeypatch.setattr(neural, "predict", lambda rows, nets: rows.selectExpr("id", "array('') pred"))
+    QUERIES["recurrent"](spark, "/root/testdata/sf0.001")
+    assert [r["n"] for r in seen[0]] == [100]
+    assert {r["length"] for r in QUERIES["sequence_cut100"](spark, "/root/testdata/sf0.001").collect()} == {100}

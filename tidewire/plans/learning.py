@@ -119,7 +119,7 @@ def feed_forward_ml(spark, d):
 @query()
 def recurrent(spark, d):
     """A recurrent net over the sequence of an article's annotation vectors for each label."""
-    rows = vectors.sequences(anns(spark, d), emb(spark, d), 20).select(F.col("article_id").alias("id"), F.col("steps").alias("features")).join(arts(spark, d, "iptc", "split_name"), "id")
+    rows = vectors.sequences(anns(spark, d), emb(spark, d)).select(F.col("article_id").alias("id"), F.col("steps").alias("features")).join(arts(spark, d, "iptc", "split_name"), "id")
     nets = neural.fit_each(rows.where("split_name = 'train'"), "iptc", CATEGORIES, lambda: neural.Recurrent(64), workers=4)
     return _said(rows, neural.predict(rows.where("split_name = 'test'"), nets))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewire.operators import models, vectors
-from tidewire.plans.base import ANN, ART, EMB, anns, arts, query, r6
+from tidewire.plans.base import ANN, ART, EMB, ORACLES, anns, arts, query, r6
 from tidewire.plans.statistics import CATEGORIES
 from tidewire.sources.tables import table
 
@@ -84,6 +84,15 @@ def sequence_cut(spark, d):
     return rows.select("article_id", F.col("n").cast("long").alias("n"), F.array_join(F.transform(real, lambda s: s["term"]), " ").alias("terms"), F.size("steps").cast("long").alias("length"))
 
 
+@query(ORACLES["sequence_cut"].replace("10)", "100)").replace("<= 10)", "<= 100)").replace("10::bigint", "100::bigint"))
+def sequence_cut100(spark, d):
+    """The first hundred annotations with a vector by offset; sequences are padded to that length."""
+    held = emb(spark, d).withColumn("v", F.struct("term", "v"))
+    rows = vectors.sequences(anns(spark, d), held)
+    real = F.filter("steps", lambda s: s.isNotNull())
+    return rows.select("article_id", F.col("n").cast("long").alias("n"), F.array_join(F.transform(real, lambda s: s["term"]), " ").alias("terms"), F.size("steps").cast("long").alias("length"))
+
+
 @query(f"with {ART} select id, {' || '.join(f'list_contains(coalesce(iptc, []), {chr(39)}{c}{chr(39)})::int::varchar' for c in sorted(CATEGORIES))} bits from art")
 def label_array(spark, d):
     bits = F.transform(vectors.label_array(F.col("iptc"), CATEGORIES), lambda x: x.cast("string"))
