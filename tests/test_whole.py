@@ -48,3 +48,15 @@ def test_sequences_hold_more_than_twenty(spark, monkeypatch):
     QUERIES["recurrent"](spark, "/root/testdata/sf0.001")
     assert [r["n"] for r in seen[0]] == [100]
     assert {r["length"] for r in QUERIES["sequence_cut100"](spark, "/root/testdata/sf0.001").collect()} == {100}
+
+
+def test_newest_and_sweeps_see_the_whole_table(spark):
+    from pyspark.sql import functions as F
+
+    from tidewire.plans.base import arts
+
+    everything = arts(spark, FOLDER, "split_name").count()
+    sizes = {r["prefix"]: r["n"] for r in QUERIES["prefix_sweep_whole"](spark, FOLDER).groupBy("prefix").agg(F.count("*").alias("n")).collect()}
+    assert sizes[100] == 100 and sizes[500_000] == everything > 400 and {5000, 195_000} <= set(sizes)
+    assert {100, 500_000} <= {r["prefix"] for r in QUERIES["learning_curve_whole"](spark, FOLDER).select("prefix").collect()}
+    assert QUERIES["topk_newest"](spark, FOLDER).count() > 100

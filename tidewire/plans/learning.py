@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewire.operators import models, neural, projection, splits, stats, terms, vectors
 from tidewire.plans.base import ANN, ART, LAB, ORACLES, anns, arts, query, r6
+from tidewire.plans.sets import SWEEP
 from tidewire.plans.statistics import CATEGORIES
 from tidewire.plans.vectors import emb, weighted
 from tidewire.sources.tables import table
@@ -180,3 +181,12 @@ def learning_curve(spark, d):
     rows = anns(spark, d).withColumnRenamed("article_id", "id").join(train, "id", "left_semi").select("id", "term")
     kept = terms.vocabulary_filter(rows, terms.document_frequency(rows, "id", "term", 2))
     return splits.prefixes(train, [50, 100, 200], "id").join(kept, "id").groupBy("prefix").agg(F.count("*").alias("n"), F.count_distinct("term").alias("terms"))
+
+
+@query(ORACLES["learning_curve"].replace("[50, 100, 200]", str(SWEEP)))
+def learning_curve_whole(spark, d):
+    """learning_curve over the whole sweep of sizes."""
+    train = arts(spark, d, "split_name").where("split_name = 'train'").select("id")
+    rows = anns(spark, d).withColumnRenamed("article_id", "id").join(train, "id", "left_semi").select("id", "term")
+    kept = terms.vocabulary_filter(rows, terms.document_frequency(rows, "id", "term", 2))
+    return splits.prefixes(train, SWEEP, "id").join(kept, "id").groupBy("prefix").agg(F.count("*").alias("n"), F.count_distinct("term").alias("terms"))

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewire.operators import enrich, splits, stats
-from tidewire.plans.base import ANN, ART, LAB, anns, arts, norm, query
+from tidewire.plans.base import ANN, ART, LAB, ORACLES, anns, arts, norm, query
 from tidewire.sources.tables import normalised, table
 
 
+#: Sizes of the training sets of a learning curve; one beyond the table takes the whole table.
+SWEEP = sorted({100, 250, 500, 1000, 2000, 3000, 5000, 10_000, 20_000, 50_000, 100_000, 200_000, 500_000, *range(5000, 200_000, 5000)})
+
+
 def _luck(*parts: str, seed: int = splits.SEED) -> str:
     return f"md5('{seed}|' || {' || \'|\' || '.join(f'{p}::varchar' for p in parts)})"
 
@@ -35,6 +39,11 @@ def newest_articles(spark, d):
     return splits.newest(arts(spark, d, "iptc"), 100).select("id", "number")
 
 
+@query(ORACLES["newest_articles"].replace("limit 100", "limit 100000"))
+def topk_newest(spark, d):
+    return splits.newest(arts(spark, d, "iptc")).select("id", "number")
+
+
 @query(f"with {ART}, {LAB} select label, id from (select *, row_number() over (partition by label order by id) r from lab) where r <= 3")
 def first_per_label(spark, d):
     return splits.first_of_each(stats.labels_of(arts(spark, d, "iptc")), "label", 3, "id").select("label", "id")
@@ -124,6 +133,11 @@ def prefix_sweep(spark, d):
     return splits.prefixes(arts(spark, d, "split_name").select("id"), [100, 200, 400], "id")
 
 
+@query(ORACLES["prefix_sweep"].replace("[100, 200, 400]", str(SWEEP)))
+def prefix_sweep_whole(spark, d):
+    return splits.prefixes(arts(spark, d, "split_name").select("id"), SWEEP, "id")
+
+
 @query("select c_custkey k, c_nationkey n from customer union all select s_suppkey, s_nationkey from supplier")
 def union_all(spark, d):
     a, b = _keys(spark, d)
