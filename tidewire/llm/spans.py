@@ -1,14 +1,14 @@
 """Problem 10: long stretches of text that another record holds character for character.
 
 Tokens are the ``GRAM`` characters that begin at each place, so that a stretch may begin anywhere, inside a word too. Each has a hash; a
-subsequence's signature is its least token hash. Compact windows group the subsequences that share a signature: a node of the Cartesian tree
-over the hashes stands for every stretch in which its token is the least, and only nodes wide enough to hold a stretch of the least length
-count - about two for every 270 characters. Two texts that hold the same stretch have a window of the same signature for it, whatever the hash
+subsequence's signature is its least token hash. Compact windows group the stretches of the least length that share a signature: the least of a
+window that slides over the hashes, the same for a run of starts, in place of the nodes of a Cartesian tree, of which stretches of one length need no more
+- about two for every 270 characters. Two texts that hold the same stretch have a window of the same signature for it, whatever the hash
 function, so one is enough to lose nothing; more would only thin out windows that agree by chance, and those fall in the verification.
 
 1. windows: texts -> (signature, document), counted with a partial minimum and maximum of the document; those of two documents or more are
    live. No pairs of documents are made, so a signature of a third of all texts is no more work than another.
-2. interval join: live windows meet their texts again by document (one shuffle of the texts that have any, each whole text once).
+2. equi-join: live windows meet their texts again by document (one shuffle of the texts that have any, each whole text once).
 3. verification: each start in a live window stands for the stretch of exactly ``LEAST`` characters there; stretches of one signature with
    the same 128 bits of hash are the same. Those of two documents are shared. Windows with up to ``HOT`` documents are grouped as they are, all
    stretches of a window in one row; the stretches of hotter windows are rows of their own, counted by partial aggregation.
