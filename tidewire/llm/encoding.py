@@ -1,4 +1,4 @@
-"""Problem 8: encoding of the whole corpus with a public tokenizer.
+"""Problem 8: encoding of a whole collection with a public tokenizer.
 
 Texts are split by the tokenizer's pattern. The distinct pieces of a chunk are merged together: pieces of similar length are the rows of a padded
 matrix of token ids, and in each round every row merges its leftmost pair of least rank. Ranks are looked up in a hash table of pairs held
