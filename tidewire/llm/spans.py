@@ -1,17 +1,19 @@
 """Problem 10: long stretches of text that another record holds character for character.
 
-Tokens are the ``GRAM`` characters that begin at each place, so that a stretch may begin anywhere, inside a word too. Each has a hash; a
-subsequence's signature is its least token hash. Compact windows group the stretches of the least length that share a signature: the least of a
-window that slides over the hashes, the same for a run of starts, in place of the nodes of a Cartesian tree, of which stretches of one length need no more
-- about two for every 270 characters. Two texts that hold the same stretch have a window of the same signature for it, whatever the hash
-function, so one is enough to lose nothing; more would only thin out windows that agree by chance, and those fall in the verification.
-
-1. windows: texts -> (signature, document), counted with a partial minimum and maximum of the document; those of two documents or more are
-   live. No pairs of documents are made, so a signature of a third of all texts is no more work than another.
-2. equi-join: live windows meet their texts again by document (one shuffle of the texts that have any, each whole text once).
-3. verification: each start in a live window stands for the stretch of exactly ``LEAST`` characters there; stretches of one signature with
-   the same 128 bits of hash are the same. Those of two documents are shared. Windows with up to ``HOT`` documents are grouped as they are, all
-   stretches of a window in one row; the stretches of hotter windows are rows of their own, counted by partial aggregation.
+Tokens are the ``GRAM`` characters that begin at each place, so that a stretch may begin anywhere, inside a word too. Each has a hash under each of ``HASHES``
+functions; a subsequence's signature is its least token hash under each.
+
+1. compact windows: the nodes of the Cartesian tree over a text's token hashes that span the least length - about two for every 270 characters. A node
+   is (l, c, r): all subsequences within l to r that hold the token c have its hash as least one. Nodes that can't hold a stretch aren't
+   visited. Equal least hashes close together, as in repeats, are one node with a range of c.
+2. interval join: a node stands for an interval of starts of stretches of exactly ``LEAST`` characters; longer ones are unions of those. The intervals of
+   all hash functions are joined where they overlap, which gives intervals of starts with the same least hash under every function: (signatures, document, interval).
+   Two texts that hold the same stretch have an interval of the same signatures for it, whatever the functions, so nothing is lost; two functions in place of one leave
+   few that agree by chance, as when texts share a phrase that is too short. Signatures of two documents or more are live, by a partial minimum and maximum of the
+   document: no pairs of documents are made, so a signature of a third of all texts is no more work than another.
+3. verification: the texts of live intervals, met by document (one shuffle of the texts that have any, each whole text once). Each start in a live interval stands for
+   a stretch; stretches of one signature with the same 128 bits of hash are the same. Those of two documents are shared. Intervals with up to ``HOT`` documents
+   are grouped as they are, all stretches of an interval in one row; the stretches of hotter ones are rows of their own, counted by partial aggregation.
 4. the union of the shared starts' stretches gives maximal runs.
 
 Exact copies of a whole text are one text with a number of copies: with two or more, the whole text is shared.
@@ -30,9 +32,9 @@ from tidewire.llm.words import chunks, mix, ranges
 from tidewire.sources.tables import table
 from tidewire.storage import cut
 
-#: Characters of the least stretch and of a token.
-LEAST, GRAM = 300, 32
-#: Texts of a window up to which its stretches are grouped in one row each.
+#: Characters of the least stretch and of a token; hash functions.
+LEAST, GRAM, HASHES = 300, 32, 2
+#: Texts of an interval up to which its stretches are grouped in one row each.
 HOT = 128
 CHUNK = 1_000_000
 
@@ -66,28 +68,71 @@ def rolling(points: np.ndarray, length: int, seed: int) -> np.ndarray:
     return mix(out)
 
 
-def least_values(values: np.ndarray, width: int) -> np.ndarray:
-    """For each start, the least of the ``width`` values from there (van Herk's blocks, for all starts at once)."""
-    n = len(values)
-    pad = -n % width
-    v = np.concatenate([values, np.full(pad + width, np.uint64(2**64 - 1))]).reshape(-1, width)
-    forward = np.minimum.accumulate(v, axis=1).reshape(-1)
-    backward = np.minimum.accumulate(v[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    least = np.minimum(backward[:n], forward[width - 1 : width - 1 + n])
-    return least
+def compact_windows(values: np.ndarray, width: int) -> np.ndarray:
+    """Rows (l, first c, last c, r) of the Cartesian tree's nodes over values that span ``width`` or more.
 
-
-def windows(points: np.ndarray, sizes: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places at which a stretch of ``length`` can begin, the text of each, and the stretch's signature."""
-    begin = np.cumsum(sizes) - sizes
-    count = np.maximum(0, sizes - length + 1)
-    starts, doc = ranges(begin, count), np.repeat(np.arange(len(sizes)), count)
-    if not len(starts):
-        return starts, doc, np.empty(0, np.uint64)
-    return starts, doc, least_values(rolling(points, gram, 0), length - gram + 1)[starts]
-
-
-def shared_spans(texts: DataFrame, least: int = LEAST, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    The subsequences of a row are those within l to r that begin at last c or before and end at first c or after; their least value is that of c. Every
+    subsequence of ``width`` values or more is of exactly one row. Of several equal least values those less than ``width`` apart are one row; parts between others are nodes of their own.
+    """
+    out, todo = [], [(0, len(values) - 1)]
+    while todo:
+        left, right = todo.pop()
+        if right - left + 1 < width:
+            continue
+        part = values[left : right + 1]
+        at = np.flatnonzero(part == part.min()) + left
+        if len(at) == 1:
+            first = last = int(at[0])
+            out.append((left, first, last, right))
+        else:
+            gap = np.flatnonzero(np.diff(at) > width)
+            firsts, lasts = at[np.concatenate([[0], gap + 1])].tolist(), at[np.concatenate([gap, [len(at) - 1]])].tolist()
+            first, last = firsts[0], lasts[-1]
+            begin = left
+            for f, e in zip(firsts, lasts, strict=True):
+                if begin != left:
+                    todo.append((begin, f - 1))
+                out.append((begin, f, e, right))
+                begin = e + 1
+        todo.append((left, first - 1))
+        todo.append((last + 1, right))
+    return np.array(out, np.int64).reshape(-1, 4)
+
+
+def start_runs(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Intervals of starts of subsequences of exactly ``width`` values with the same least one: where each begins, in order, and that value. An interval ends where the next begins."""
+    w = compact_windows(values, width)
+    begin = np.maximum(w[:, 0], w[:, 1] - width + 1)
+    order = np.argsort(begin)
+    return begin[order], values[w[order, 1]]
+
+
+def intervals(points: np.ndarray, sizes: np.ndarray, length: int, gram: int, hashes: int = HASHES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first start, last start, signature) of the intervals of starts, in all texts, that have the same least token hash under every function."""
+    begin, width = np.cumsum(sizes) - sizes, length - gram + 1
+    tokens = rolling(points, gram, 0)
+    views = [tokens] + [mix(tokens ^ mix(np.array([j], np.uint64))) for j in range(1, hashes)]
+    docs, firsts, marks = [], [], []
+    for d in np.flatnonzero(sizes >= length).tolist():
+        runs = [start_runs(v[begin[d] : begin[d] + sizes[d] - gram + 1], width) for v in views]
+        cells = np.unique(np.concatenate([r[0] for r in runs]))
+        mark = np.zeros(len(cells), np.uint64)
+        with np.errstate(over="ignore"):
+            for at, least in runs:  # a cell lies in one interval of each function
+                mark = mix(mark * np.uint64(0x9E3779B97F4A7C15) + least[np.searchsorted(at, cells, side="right") - 1])
+        docs.append(np.full(len(cells), d))
+        firsts.append(cells)
+        marks.append(mark)
+    if not docs:
+        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
+    doc, first, mark = np.concatenate(docs), np.concatenate(firsts), np.concatenate(marks)
+    last = np.append(first[1:], 0) - 1
+    end = np.append(doc[1:] != doc[:-1], True)
+    last[end] = sizes[doc[end]] - length
+    return doc, first, last, mark
+
+
+def shared_spans(texts: DataFrame, least: int = LEAST, gram: int = GRAM, hot: int = HOT, hashes: int = HASHES) -> DataFrame:
     """Maximal runs of characters shared with another record: (doc_id, span_start, span_end), offsets in code points, end exclusive.
 
     A character is shared if it lies in a stretch of ``least`` characters that occurs, character by character, in the text of another
@@ -104,17 +149,16 @@ def shared_spans(texts: DataFrame, least: int = LEAST, gram: int = GRAM, hot: in
     copies = cut(members.join(copied, copy_key).select("doc_id", "rep", "n_chars").distinct(), "spans-copies")
     others = copies.where("doc_id <> rep").select("doc_id")
 
-    # 1. windows, and those of two documents or more
-    marks = cut(docs.mapInArrow(_signatures(least, gram), "signature long, doc_id long").join(others, "doc_id", "left_anti"), "spans-windows")
+    # 1. and 2. intervals, and those of two documents
+    marks = cut(docs.mapInArrow(_signatures(least, gram, hashes), "signature long, doc_id long, first int, last int").join(others, "doc_id", "left_anti"), "spans-intervals")
     live = marks.groupBy("signature").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
     live = marks.join(live.select("signature", (F.col("n") > hot).alias("hot")), "signature")
 
-    # 2. the live windows' text; a document has at most one for each character
-    wanted = live.groupBy("doc_id").agg(F.collect_list("signature").alias("signatures"), F.collect_list("hot").alias("hots"))
+    # 3. the live intervals' text; a document has at most one for each character
+    wanted = live.groupBy("doc_id").agg(F.collect_list(F.struct("signature", "hot", "first", "last")).alias("live"))
     kinds = "signature long, hot boolean, doc_id long, start int, context string"
-    contexts = cut(docs.join(wanted, "doc_id").select("doc_id", "text", "signatures", "hots").mapInArrow(_contexts(least, gram), kinds), "spans-contexts")
+    contexts = cut(docs.join(wanted, "doc_id").select("doc_id", "text", "live").mapInArrow(_contexts(least), kinds), "spans-contexts")
 
-    # 3. the stretches in them
     spans = "doc_id long, span_start int, span_end int"
     cold = contexts.where("not hot").repartition(n, "signature").sortWithinPartitions("signature").mapInArrow(_shared(least), spans)
     starts = contexts.where("hot").mapInArrow(_starts(least), "signature long, h1 long, h2 long, doc_id long, start int")
@@ -131,43 +175,33 @@ def shared_spans(texts: DataFrame, least: int = LEAST, gram: int = GRAM, hot: in
     return runs.select("doc_id", "span_start", "span_end")
 
 
-def _signatures(least: int, gram: int):
+def _signatures(least: int, gram: int, hashes: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             for part in chunks(np.fromiter(map(len, texts), np.int64, len(texts)), CHUNK):
-                points, sizes = code_points(texts[part])
-                _, doc, mark = windows(points, sizes, least, gram)
+                doc, first, last, mark = intervals(*code_points(texts[part]), least, gram, hashes)
                 if len(doc):
-                    first = np.concatenate([[True], (mark[1:] != mark[:-1]) | (doc[1:] != doc[:-1])])
-                    pair = np.unique(np.stack([doc[first].astype(np.uint64), mark[first]], 1), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(pair[:, 1].astype(np.int64)), pa.array(ids[part][pair[:, 0].astype(np.int64)])], ["signature", "doc_id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(mark.astype(np.int64)), pa.array(ids[part][doc]), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], ["signature", "doc_id", "first", "last"])
 
     return go
 
 
-def _contexts(least: int, gram: int):
-    """Of each text the stretches of its live windows: the run of starts of one signature, and the characters they cover."""
+def _contexts(least: int):
+    """Of each text the characters that the stretches of its live intervals cover."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, marks, hots = (batch.column(i) for i in range(4))
-            texts = texts.to_pylist()
-            for part in chunks(np.fromiter(map(len, texts), np.int64, len(texts)), CHUNK):
-                points, sizes = code_points(texts[part])
-                starts, doc, mark = windows(points, sizes, least, gram)
-                begin = np.cumsum(sizes) - sizes
-                first = np.flatnonzero(np.concatenate([[True], (mark[1:] != mark[:-1]) | (doc[1:] != doc[:-1])]))
-                count = np.diff(np.append(first, len(mark)))
-                live = [dict(zip(marks[i].as_py(), hots[i].as_py(), strict=True)) for i in range(part.start, part.stop)]
-                out: list[list] = [[], [], [], [], []]
-                for d, m, s, n in zip(doc[first].tolist(), mark[first].astype(np.int64).tolist(), (starts[first] - begin[doc[first]]).tolist(), count.tolist(), strict=True):
-                    if m in live[d]:
-                        for x, y in zip(out, (m, live[d][m], ids[part.start + d].as_py(), s, texts[part.start + d][s : s + n + least - 1]), strict=True):
-                            x.append(y)
-                if out[0]:
-                    kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["signature", "hot", "doc_id", "start", "context"])
+            live = batch.column(2)
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(live.offsets.to_numpy()))
+            texts, flat = batch.column(1).to_pylist(), live.flatten()
+            signature, hot, first, last = (flat.field(i) for i in range(4))
+            start, end = first.to_numpy().tolist(), (last.to_numpy() + least).tolist()
+            for part in chunks(np.asarray(last.to_numpy() - first.to_numpy() + least, np.int64), CHUNK):
+                own, n = owner[part], part.stop - part.start
+                context = [texts[d][s:e] for d, s, e in zip(own.tolist(), start[part], end[part], strict=True)]
+                ids = batch.column(0).take(pa.array(own))
+                yield pa.RecordBatch.from_arrays([signature.slice(part.start, n), hot.slice(part.start, n), ids, first.slice(part.start, n), pa.array(context, pa.string())], ["signature", "hot", "doc_id", "start", "context"])
 
     return go
 
@@ -181,7 +215,7 @@ def _hashes(contexts: list[str], least: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _shared(least: int):
-    """Shared stretches of windows: rows come in order of signature, and all rows of a signature to one task."""
+    """Shared stretches of intervals: rows come in order of signature, and all rows of a signature to one task."""
 
     def solve(rows: pa.Table) -> pa.RecordBatch:
         signature, doc, start = (rows.column(i).to_numpy() for i in ("signature", "doc_id", "start"))
@@ -223,7 +257,7 @@ def _shared(least: int):
 
 
 def _starts(least: int):
-    """Every stretch of hot windows as a row."""
+    """Every stretch of hot intervals as a row."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
