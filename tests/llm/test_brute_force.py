@@ -92,6 +92,21 @@ def test_split_overlap(spark, similar):
     assert len(got) == len(set(got)) and set(got) == overlaps_of(spark, similar)
 
 
+def test_overlap_report_counts_what_is_listed(spark):
+    articles = table(spark, MORE, "articles")
+    listed = {r["eval_id"]: r["n"] for r in split_overlap.overlaps(articles).groupBy("eval_id").agg(F.count("*").alias("n")).collect()}
+    got = [tuple(r) for r in split_overlap.overlap_counts(articles).collect()]
+    assert len(got) == len(listed) and dict(got) == listed
+
+
+def test_overlaps_of_many_copies_are_counted_without_listing(spark):
+    """10,000 copies in train and as many in test, all the same text: a hundred million pairs."""
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = spark.range(20_000).select(F.col("id").cast("string").alias("id"), F.lit("head").alias("hl"), F.lit(text).alias("body"), F.when(F.col("id") % 2 == 0, "train").otherwise("test").alias("split_name"), F.lit("s").alias("source"), F.lit(None).cast("timestamp").alias("loaded_at"))
+    got = split_overlap.overlap_counts(rows).agg(F.count("*"), F.min("pairs"), F.max("pairs"), F.sum("pairs")).first()
+    assert tuple(got) == (10_000, 10_000, 10_000, 100_000_000)
+
+
 def test_embedding_is_a_lower_bound():
     rng = np.random.default_rng(1)
     hashes = rng.integers(0, 2**63, (50, shingles.HASHES)).astype(np.uint64)
