@@ -87,13 +87,22 @@ def test_counts(spark, messy):
 
 
 def test_heavy_terms_are_counted_exactly(spark):
-    rows = spark.range(30000).select(F.lit("f").alias("field_name"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("t"), (F.col("id") % 7000).cast("string"))).alias("term"), F.lit(2).alias("occurrences"), F.lit(1).alias("records"))
-    wanted = {r["term"]: (r["o"], r["n"]) for r in rows.groupBy("term").agg(F.sum("occurrences").alias("o"), F.sum("records").alias("n")).collect()}
+    """Rows with records that repeat, and rows that stand for several; whichever terms are heavy."""
+    record = F.when(F.col("id") % 5 > 0, (F.col("id") % 900).cast("string"))
+    rows = spark.range(30000).select(F.lit("f").alias("field_name"), record.alias("record"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("t"), (F.col("id") % 7000).cast("string"))).alias("term"), F.lit(2).alias("occurrences"), F.lit(1).alias("records"))
+    alone = F.count_if(F.col("record").isNull())
+    wanted = {r["term"]: (r["o"], r["n"]) for r in rows.groupBy("term").agg(F.sum("occurrences").alias("o"), (F.count_distinct("record") + alone).alias("n")).collect()}
     for heavy in (0, 1, 50):
         got = {r["term"]: (r["occurrences"], r["records"]) for r in frequency.heavy_light(rows, heavy=heavy).collect()}
         assert got == wanted
 
 
+def test_terms_of_arrays(spark):
+    rows = spark.createDataFrame([(["b", "a", "b", None, " ", "b"],), ([],), (None,), (["x"],), (["a"] * 5,)], "terms array<string>")
+    got = sorted((r["term"], r["occurrences"], r["records"]) for r in frequency.in_arrays(rows, "f", F.col("terms")).collect())
+    assert got == [("a", 1, 1), ("a", 5, 1), ("b", 3, 1), ("x", 1, 1)]
+
+
 def test_pairs(messy):
     state = cooccurrence.article_pairs(messy)
     got = {(r["field_name"], r["item_a"], r["item_b"]): r["k"] for r in state.scores().collect()}
