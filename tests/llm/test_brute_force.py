@@ -272,5 +272,25 @@ def test_pairs_follow_changes(spark):
         state = cooccurrence.PairTable(spark, state.path)
 
 
+def test_small_batch_rewrites_its_buckets_only(spark):
+    """A batch of one basket leaves the other buckets' versions; the state before the last is removed, the last one can still be read."""
+    rows = [("f", f"b{i}", None, [f"i{i % 40}", f"i{i % 40 + 1}"]) for i in range(400)]
+    kinds = "field_name string, basket string, version timestamp, items array<string>"
+    state = cooccurrence.PairTable(spark, buckets=16)
+    state.update(spark.createDataFrame(rows, kinds))
+    before = {name: dict(of) for name, of in state.manifest.items()}
+    reader = cooccurrence.PairTable(spark, state.path)
+    affected = {(r["item_a"], r["item_b"]) for r in state.update(spark.createDataFrame([("f", "new", None, ["i1", "i2"])], kinds)).collect()}
+    assert affected == {("i0", "i1"), ("i1", "i2"), ("i2", "i3")}
+    changed = {name: {b for b in of | before[name] if of.get(b) != before[name].get(b)} for name, of in state.manifest.items()}
+    assert len(changed["baskets"]) == len(changed["pairs"]) == 1 and len(changed["items"]) <= 2 and len(changed["scores"]) <= 3 and len(before["baskets"]) == 16
+    assert reader.scores().where("item_a = 'i1' and item_b = 'i2'").first()["k"] == 10 and reader.totals == {"f": 400}
+    assert cooccurrence.PairTable(spark, state.path).scores().where("item_a = 'i1' and item_b = 'i2'").first()["k"] == 11
+    state.update(spark.createDataFrame([("f", "new", None, [])], kinds))
+    assert state._manifests() == [2, 3]
+    again = cooccurrence.PairTable(spark, state.path)
+    assert sum(r["k"] for r in again.scores().collect()) == 400 and again.totals == {"f": 401} == state.totals
+
+
 def test_radius_passes_similar_pairs():
     assert 0 < near_duplicates.radius(0.9) < near_duplicates.radius(0.6) < shingles.HASHES * 4 * 1.571 and math.isfinite(near_duplicates.radius(1.0))

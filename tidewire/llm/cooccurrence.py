@@ -1,10 +1,12 @@
 """Problem 7: how often two items occur in the same record, and how much more often than chance.
 
-The pair table is incremental and lives in a folder. A batch of baskets is compared with the stored ones; each changed basket emits
-its new pairs and items with +1 and its old ones with -1, and equal deltas are summed before they are shuffled. Counts are kept in ``BUCKETS``
-hash buckets, each a folder of Parquet files; a merge reads and rewrites the buckets that its deltas fall in, and a manifest says which version
-of each bucket holds. Readers of an older manifest still find its files. The association of a pair is k * N / (n_a * n_b). N is the same for all pairs, so the
-scores that a batch affects are those of pairs with a changed count or a changed item; those are recomputed.
+The pair table is incremental and lives in a folder. A batch of baskets is compared with the stored ones of the buckets it falls in; each changed basket emits
+its new pairs and items with +1 and its old ones with -1, and equal deltas are summed before they are shuffled. Baskets, counts and scores are kept in hash
+buckets, each a folder of Parquet files; a merge reads and rewrites the buckets that its deltas fall in, and nothing else. The association of a pair is k * N / (n_a * n_b). N is the same for
+all pairs and joins when scores are read, so what a batch affects are pairs with a changed count or a changed item: their k, n_a and n_b are recomputed and merged into the stored scores.
+
+A manifest with a number of its own says which version of each bucket holds, and how many baskets there are. It is written under another name and then renamed, so a
+reader sees the old state or the new one. The state before the last is removed with the files that only it used; readers of the last one still find theirs.
 
 Pairs are made item by item, a row for each, so that a basket of thousands of items is never held as one array of pairs.
 """
@@ -22,109 +24,151 @@ from tidewire.storage import new_path
 
 #: Hash buckets of each table of the state at least; a new table has as many as the session's shuffles have partitions.
 BUCKETS = 32
-KEYS = {"baskets": ["field_name", "basket"], "pairs": ["field_name", "item_a", "item_b"], "items": ["field_name", "item"]}
+KEYS = {"baskets": ["field_name", "basket"], "pairs": ["field_name", "item_a", "item_b"], "items": ["field_name", "item"], "scores": ["field_name", "item_a", "item_b"]}
 SCHEMAS = {
     "baskets": "field_name string, basket string, version timestamp, items array<string>",
     "pairs": "field_name string, item_a string, item_b string, n long",
     "items": "field_name string, item string, n long",
+    "scores": "field_name string, item_a string, item_b string, k long, n_a long, n_b long",
 }
 
 
 class PairTable:
-    """Persistent counts of pairs and items, by field."""
+    """Persistent counts of pairs and items and scores of pairs, by field. One writer at a time."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None) -> None:
         """Open the table at ``path``, or make one there; without a path in the session's shared folder."""
         self.spark, self.path = spark, path or new_path(spark, "pairs")
         self.manifest: dict[str, dict[str, str]] = {name: {} for name in KEYS}
+        self.totals: dict[str, int] = {}
         self.buckets = buckets or max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        self._manifest_path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest.json")
-        self._fs = self._manifest_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if self._fs.exists(self._manifest_path):
-            kept = json.loads(spark.read.text(f"{self.path}/manifest.json", wholetext=True).first()[0])
-            self.manifest, self.buckets = kept["tables"], kept["buckets"]
+        self.number, self._scratch = 0, ""
+        self._fs = self._at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if numbers := self._manifests():
+            self.number = numbers[-1]
+            kept = self._load(self.number)
+            self.manifest, self.totals, self.buckets = kept["tables"], kept["totals"], kept["buckets"]
+
+    def _at(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def _manifests(self) -> list[int]:
+        where = self._at("manifests")
+        return sorted(int(s.getPath().getName()) for s in self._fs.listStatus(where) if s.getPath().getName().isdigit()) if self._fs.exists(where) else []
+
+    def _load(self, number: int) -> dict:
+        return json.loads(self.spark.read.text(f"{self.path}/manifests/{number}", wholetext=True).first()[0])
 
     def read(self, name: str, only: list[int] | None = None) -> DataFrame:
-        """One of baskets, pairs and items; only: the buckets to read."""
+        """One of baskets, pairs, items and scores; only: the buckets to read."""
         paths = [f"{self.path}/{name}/{version}/bucket={b}" for b, version in self.manifest[name].items() if only is None or int(b) in only]
         return self.spark.read.schema(SCHEMAS[name]).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMAS[name])
 
     def _bucket(self, name: str) -> Column:
         return F.pmod(F.xxhash64(*KEYS[name]), F.lit(self.buckets)).cast("int")
 
-    def _write(self, name: str, rows: DataFrame) -> dict[str, str]:
-        """Write rows as a new version of the buckets they fall in; each bucket is one task's, files are as many as buckets."""
+    def _touched(self, name: str, rows: DataFrame) -> list[int]:
+        return [r[0] for r in rows.select(self._bucket(name)).distinct().collect()]  # as many numbers as buckets at most
+
+    def _write(self, name: str, rows: DataFrame, touched: list[int]) -> dict[str, str]:
+        """Write rows as a new version of the touched buckets; those that nothing is left of have no version. Each bucket is one task's."""
         version = uuid.uuid4().hex[:12]
         where = f"{self.path}/{name}/{version}"
-        rows.withColumn("bucket", self._bucket(name)).repartition(self.buckets, "bucket").write.partitionBy("bucket").option("compression", "zstd").parquet(where)
-        base = self.spark._jvm.org.apache.hadoop.fs.Path(where)
-        listed = [s.getPath().getName() for s in self._fs.listStatus(base)]
-        return {n.split("=")[1]: version for n in listed if n.startswith("bucket=")}
+        rows.withColumn("bucket", self._bucket(name)).repartition(len(touched), "bucket").write.partitionBy("bucket").option("compression", "zstd").parquet(where)
+        listed = [s.getPath().getName() for s in self._fs.listStatus(self._at(f"{name}/{version}"))]
+        kept = {b: v for b, v in self.manifest[name].items() if int(b) not in touched}
+        return kept | {n.split("=")[1]: version for n in listed if n.startswith("bucket=")}
 
     def _merge(self, name: str, deltas: DataFrame) -> dict[str, str]:
-        touched = [r[0] for r in deltas.select(self._bucket(name)).distinct().collect()]  # as many numbers as buckets at most
+        keys, touched = KEYS[name], self._touched(name, deltas)
         if not touched:
-            return {}
-        keys = KEYS[name]
+            return self.manifest[name]
         merged = self.read(name, touched).unionByName(deltas.select(*keys, "n")).groupBy(*keys).agg(F.sum("n").alias("n")).where("n <> 0")
-        return dict.fromkeys(map(str, touched), "") | self._write(name, merged)
+        return self._write(name, merged, touched)
 
     def update(self, baskets: DataFrame) -> DataFrame:
         """Take in a batch of (field_name, basket, version, items): later versions replace earlier ones, a null version is the earliest.
 
         Within the batch the greatest version of a basket counts, of equal ones that with the greatest items. Null and blank items are left out,
-        repeated ones count once; a basket may be empty. Gives the affected scores, as ``scores`` does.
+        repeated ones count once; a basket may be empty. Gives the affected scores, as ``scores`` does; they can be read until the next update.
         """
         early = F.coalesce("version", F.lit("1900-01-01").cast("timestamp"))
         clean = F.array_sort(F.array_distinct(F.filter(F.coalesce("items", F.array().cast("array<string>")), lambda x: x.isNotNull() & (F.trim(x) != ""))))
         batch = baskets.where("field_name is not null and basket is not null").select("field_name", "basket", F.struct(early.alias("version"), clean.alias("items")).alias("row"))
-        batch = batch.groupBy("field_name", "basket").agg(F.max("row").alias("row")).select("field_name", "basket", "row.*")
-        fresh = not self.manifest["baskets"]
-        if fresh:
-            changed = batch.withColumn("old", F.lit(None).cast("array<string>"))
-            whole = batch
-        else:
-            old = self.read("baskets").select("field_name", "basket", F.col("version").alias("was"), F.col("items").alias("old"))
-            both = old.join(batch, ["field_name", "basket"], "full_outer")
-            newer = F.col("version").isNotNull() & (F.col("was").isNull() | (F.col("version") >= F.col("was")))
-            changed = both.where(newer & ~F.coalesce(F.col("old") == F.col("items"), F.lit(False))).select("field_name", "basket", "items", "old")
-            whole = both.select("field_name", "basket", F.when(newer, F.col("version")).otherwise(F.col("was")).alias("version"), F.when(newer, F.col("items")).otherwise(F.col("old")).alias("items"))
-        path = f"{self.path}/changed/{uuid.uuid4().hex[:12]}"
-        changed.select("field_name", "items", "old").write.option("compression", "zstd").parquet(path)
-        changed = self.spark.read.schema("field_name string, items array<string>, old array<string>").parquet(path)
+        last, self._scratch = self._scratch, f"scratch/{uuid.uuid4().hex[:12]}"
+        batch = self._kept(batch.groupBy("field_name", "basket").agg(F.max("row").alias("row")).select("field_name", "basket", "row.*"), "batch")
+        touched = self._touched("baskets", batch)
+        if not touched:
+            return self.scores().where("false")
+        old = self.read("baskets", touched).select("field_name", "basket", F.col("version").alias("was"), F.col("items").alias("old"))
+        both = old.join(batch, ["field_name", "basket"], "full_outer")
+        newer = F.col("version").isNotNull() & (F.col("was").isNull() | (F.col("version") >= F.col("was")))
+        both = both.withColumn("newer", newer)
+        changed = both.where(F.col("newer") & ~F.coalesce(F.col("old") == F.col("items"), F.lit(False))).select("field_name", "items", "old")
+        whole = both.select("field_name", "basket", F.when(F.col("newer"), F.col("version")).otherwise(F.col("was")).alias("version"), F.when(F.col("newer"), F.col("items")).otherwise(F.col("old")).alias("items"))
+        changed = self._kept(changed, "changed")
+        fresh = {r[0]: r[1] for r in changed.where("old is null").groupBy("field_name").agg(F.count("*")).collect()}  # as many as fields
         signed = changed.select("field_name", F.lit(1).cast("long").alias("n"), "items").unionByName(changed.where("old is not null").select("field_name", F.lit(-1).cast("long").alias("n"), F.col("old").alias("items")))
         one = signed.select("field_name", "n", F.posexplode("items").alias("i", "item_a"), "items")
         two = one.select("field_name", "item_a", F.explode(F.slice("items", F.col("i") + 2, F.greatest(F.size("items") - F.col("i") - 1, F.lit(0)))).alias("item_b"), "n")
         pairs = self._kept(two.groupBy(*KEYS["pairs"]).agg(F.sum("n").alias("n")).where("n <> 0"), "pairs")
         items = self._kept(one.select("field_name", F.col("item_a").alias("item"), "n").groupBy(*KEYS["items"]).agg(F.sum("n").alias("n")).where("n <> 0"), "items")
-        manifest = {"baskets": self._write("baskets", whole), "pairs": self.manifest["pairs"] | self._merge("pairs", pairs), "items": self.manifest["items"] | self._merge("items", items)}
-        self.manifest = {name: {b: v for b, v in of.items() if v} for name, of in manifest.items()}
-        text = json.dumps({"tables": self.manifest, "buckets": self.buckets})
-        out = self._fs.create(self._manifest_path, True)
-        out.write(bytearray(text.encode()))
-        out.close()
-        return self.scores(pairs, items)
-
-    def _kept(self, deltas: DataFrame, name: str) -> DataFrame:
-        path = f"{self.path}/deltas/{name}-{uuid.uuid4().hex[:12]}"
-        deltas.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(SCHEMAS[name]).parquet(path)
+        first = not self.manifest["pairs"]
+        self.manifest = self.manifest | {"baskets": self._write("baskets", whole, touched), "pairs": self._merge("pairs", pairs), "items": self._merge("items", items)}
+        self.totals = {f: self.totals.get(f, 0) + fresh.get(f, 0) for f in self.totals | fresh}
 
-    def scores(self, pairs: DataFrame | None = None, items: DataFrame | None = None, least: int = 1) -> DataFrame:
-        """(field_name, item_a, item_b, k, n_a, n_b, n_all, lift) of all pairs of at least ``least`` records, or of those that changed pairs or items affect."""
-        held = self.read("pairs").where(F.col("n") >= least).withColumnRenamed("n", "k")
-        if pairs is not None and items is not None:
+        # scores of the pairs whose count or item has changed; pairs that are no more go
+        held = self.read("pairs").withColumnRenamed("n", "k")
+        if not first:
             a, b = (items.select("field_name", F.col("item").alias(x), F.lit(True).alias(f"hit_{x}")) for x in ("item_a", "item_b"))
             own = pairs.select(*KEYS["pairs"], F.lit(True).alias("hit"))
             held = held.join(own, KEYS["pairs"], "left").join(a, ["field_name", "item_a"], "left").join(b, ["field_name", "item_b"], "left")
             held = held.where("hit or hit_item_a or hit_item_b").select(*KEYS["pairs"], "k")
-        single = self.read("items").where(F.col("n") >= least)
+        single = self.read("items")
         for x in "ab":
             held = held.join(single.select("field_name", F.col("item").alias(f"item_{x}"), F.col("n").alias(f"n_{x}")), ["field_name", f"item_{x}"])
-        totals = self.read("baskets").groupBy("field_name").agg(F.count("*").alias("n_all"))
-        scored = held.join(F.broadcast(totals), "field_name")
+        affected = self._kept(held.select(*KEYS["pairs"], "k", "n_a", "n_b"), "scores")
+        gone = pairs.select(*KEYS["pairs"]) if not first else pairs.select(*KEYS["pairs"]).where("false")
+        keys = affected.select(*KEYS["scores"]).unionByName(gone)
+        if rewritten := self._touched("scores", keys):
+            kept = self.read("scores", rewritten).join(keys.distinct(), KEYS["scores"], "left_anti")
+            self.manifest = self.manifest | {"scores": self._write("scores", kept.unionByName(affected), rewritten)}
+        self._publish(last)
+        return self._scored(affected)
+
+    def _publish(self, scratch: str) -> None:
+        """Make the state the one that holds, and remove the files that only the one before the last used."""
+        self.number += 1
+        new, named = self._at(f"manifests/.{self.number}-{uuid.uuid4().hex[:12]}"), self._at(f"manifests/{self.number}")
+        out = self._fs.create(new, True)
+        out.write(bytearray(json.dumps({"tables": self.manifest, "totals": self.totals, "buckets": self.buckets}).encode()))
+        out.close()
+        if not self._fs.rename(new, named):
+            raise RuntimeError(f"manifest {self.number} of {self.path} is there already: another writer was first")
+        for number in self._manifests()[:-2]:
+            used = {(name, b, v) for n in (self.number - 1, self.number) for name, of in self._load(n)["tables"].items() for b, v in of.items()}
+            for name, of in self._load(number)["tables"].items():
+                for b, version in of.items():
+                    if (name, b, version) not in used:
+                        self._fs.delete(self._at(f"{name}/{version}/bucket={b}"), True)
+            self._fs.delete(self._at(f"manifests/{number}"), False)
+        if scratch:
+            self._fs.delete(self._at(scratch), True)
+
+    def _kept(self, rows: DataFrame, name: str) -> DataFrame:
+        path = f"{self.path}/{self._scratch}/{name}"
+        rows.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def _scored(self, rows: DataFrame) -> DataFrame:
+        totals = self.spark.createDataFrame(sorted(self.totals.items()), "field_name string, n_all long")
+        scored = rows.join(F.broadcast(totals), "field_name")  # a row for each field
         return scored.select("field_name", "item_a", "item_b", "k", "n_a", "n_b", "n_all", (F.col("k") / F.col("n_a") * F.col("n_all") / F.col("n_b")).alias("lift"))
 
+    def scores(self, least: int = 1) -> DataFrame:
+        """(field_name, item_a, item_b, k, n_a, n_b, n_all, lift) of all pairs of at least ``least`` records, as they are stored."""
+        return self._scored(self.read("scores").where(F.col("k") >= least))
+
 
 def article_baskets(articles: DataFrame) -> DataFrame:
     """Baskets of the fields ``iptc`` (normalised) and ``ann`` (as they are) of every article row."""
