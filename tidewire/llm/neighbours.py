@@ -1,16 +1,17 @@
 """Problem 2: the most similar vectors for every vector.
 
 Inverted file with product quantisation. Coarse centroids and the codebooks of residuals are fitted on a bounded sample; every vector is then
-indexed: it is in the list of its nearest centroid, with a byte for each of ``PARTS`` parts of its residual. Each vector is also a query and visits
-the ``SHARE`` of all lists that is nearest to it, at least ``PROBES``, so that the searched part of the index is the same at any size. In a list, the asymmetric
-distance tables of the query - the inner products of its parts with all codewords - give a score for every entry, and the length of what its code leaves out bounds the score's error. Entries that
-can't be among the best so far are left; all others are ranked by their exact cosine, in double precision, from the vectors that lie beside the codes. So nothing is lost in a list, and entries of the same cosine come by key,
-however many they are. The best of all lists visited are the result. Vectors are unit vectors, so the inner product is the cosine.
+indexed: it is in the list of its nearest centroid, with a byte for each of ``PARTS`` parts of its residual. Each vector is also a query and visits the lists nearest to it. How many is
+measured: for ``TESTED`` vectors of each field the exact neighbours are found by one pass over all vectors, and the visits are as many as ``TARGET`` of those neighbours lie in. So the loss of
+accuracy is known at any size and for any data: the sharper the clusters, the fewer lists are visited. ``accuracy`` states what came out.
+
+In a list, the asymmetric distance tables of the query - the inner products of its parts with all codewords - give a score for every entry. What a code leaves out of its vector is known for each
+entry, so a score says how great the cosine can be: entries that can't be among the best so far, by ``DEVIATIONS`` times the score's deviation, are left (at 4 a neighbour is lost once in 30,000; at 8 the bound is a proof);
+all others are ranked by their exact cosine, in double precision, from the vectors that lie beside the codes. Entries of the same cosine come by key,
+however many they are. The best of all lists visited are the result. Vectors are unit vectors, so the inner product is the cosine. With a target of 1 and 8 deviations the search is exact but for neighbours of vectors not tested; ``visits`` set to all lists makes it exact.
 
 Keys whose vectors have the same direction to twelve digits are one entry with its least keys, so a vector that a third of all keys share is searched once. Lists that follow one another are a shelf of
 about ``ROWS`` entries; shelves of more than twice as many are cut into blocks, and queries of a shelf into chunks; each task compares one chunk with one block, both bounded.
-
-Accuracy: with the default settings, measured against brute force, in the README.
 """
 
 from __future__ import annotations
@@ -29,12 +30,14 @@ from tidewire.storage import cut
 
 #: Components, neighbours, and the least cosine of a case.
 SIZE, K, LEAST = 64, 5, 0.85
-#: Vectors of each field that centroids and codebooks are fitted on, at most; parts of a vector; codewords of a part.
-SAMPLE, PARTS, WORDS = 20_000, 16, 256
-#: Lists at most, lists that a query visits at least, entries of a shelf (a block or chunk has twice as many at most).
-LISTS, PROBES, ROWS = 2048, 24, 4096
-#: Lists that a query visits, of all.
-SHARE = 1 / 3
+#: Vectors of each field that centroids and codebooks are fitted on: eight for each list, but these at least and at most; parts of a vector; codewords of a part.
+SAMPLE, SAMPLE_MOST, PARTS, WORDS = 20_000, 65_536, 16, 256
+#: Lists at most (there are as many as the root of the vectors), lists that a query visits at least, entries of a shelf (a block or chunk has twice as many at most).
+LISTS, PROBES, ROWS = 8192, 24, 4096
+#: Vectors of each field whose exact neighbours are looked up, and the part of those neighbours that must lie in the lists visited.
+TESTED, TARGET = 256, 0.98
+#: Deviations of a score within which an entry is ranked exactly.
+DEVIATIONS = 4.0
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, seed: int, spherical: bool = False) -> np.ndarray:
@@ -101,74 +104,176 @@ def valid(rows: DataFrame) -> DataFrame:
     return kept.groupBy("field_name", "key").agg(F.max("v").alias("v"))
 
 
-def visited(lists: int, probes: int = PROBES, share: float = SHARE) -> int:
-    """How many of the lists a query visits."""
-    return min(lists, max(probes, math.ceil(share * lists)))
+def merged(best: np.ndarray, row: np.ndarray, cosine: np.ndarray) -> np.ndarray:
+    """The greatest k of each row of best (ascending) and of the cosines of that row."""
+    k = best.shape[1]
+    order = np.lexsort((-cosine, row))
+    row, cosine = row[order], cosine[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    more = np.full(best.shape, -9.0)
+    on = rank < k
+    more[row[on], rank[on]] = cosine[on]
+    return np.sort(np.concatenate([best, more], axis=1), axis=1)[:, -k:]
+
+
+def exact(q: np.ndarray, x: np.ndarray, row: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """Cosines of pairs of rows of q and x, to ten digits, some at a time."""
+    out = [np.einsum("nd,nd->n", q[row[i : i + 65_536]], x[column[i : i + 65_536]]) for i in range(0, len(row), 65_536)]
+    return np.round(np.concatenate(out), 10) if out else np.zeros(0)
 
 
-def best_of(q: np.ndarray, visits: list, x: np.ndarray, own: np.ndarray, codes: np.ndarray, itself: np.ndarray, centroids: np.ndarray, words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best_of(q: np.ndarray, visits: list, x: np.ndarray, own: np.ndarray, codes: np.ndarray, itself: np.ndarray, centroids: np.ndarray, words: np.ndarray, k: int, deviations: float = DEVIATIONS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, entry, cosine), by place: the k entries of greatest cosine for each query in the lists it visits; of cosines that are the same to ten digits the first entries.
 
     q, x: unit vectors of queries and entries; visits: each query's lists; own, codes: each entry's list and codewords; itself: the entry that is the query, or -1.
     """
     near = q.astype(np.float32)
-    coded = centroids[own] + np.concatenate([words[m, codes[:, m]] for m in range(PARTS)], axis=1)
-    error = np.linalg.norm(x - coded, axis=1).astype(np.float32) + np.float32(1e-5)  # of a score, at most; single precision adds less than 1e-5
-    who = np.repeat(np.arange(len(q)), [len(v) for v in visits])
-    where = np.concatenate(visits).astype(int)
-    least = np.full(len(q), -9.0)  # no entry below it is among a query's best
+    rest = x - (centroids[own] + np.concatenate([words[m, codes[:, m]] for m in range(PARTS)], axis=1))
+    # the score of an entry of cosine c is c (1 - x rest) but for what is at right angles to x, whose deviation is that of a random direction
+    kept_part = (1 - np.minimum((x * rest).sum(1), 0.999)).astype(np.float32)
+    spread = (deviations / np.sqrt(SIZE) * np.linalg.norm(rest, axis=1) + 1e-5).astype(np.float32)  # single precision adds less than 1e-5
+    lists, place = np.unique(own, return_inverse=True)
+    held_by = np.split(np.argsort(place, kind="stable"), np.cumsum(np.bincount(place))[:-1])
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for list_ in np.unique(own):
-        held, asking = np.flatnonzero(own == list_), who[where == list_]
-        for part in np.array_split(asking, len(asking) * len(held) // 1_000_000 + 1):
-            if not len(part):
+    for begin in range(0, len(q), 512):
+        part = np.arange(begin, min(begin + 512, len(q)))
+        tables = [near[part, m * SIZE // PARTS : (m + 1) * SIZE // PARTS] @ words[m].T for m in range(PARTS)]
+        who, where = np.repeat(np.arange(len(part)), [len(visits[i]) for i in part]), np.concatenate([visits[i] for i in part]).astype(int)
+        best, found = np.full((len(part), k), -9.0), []
+        for list_, held in zip(lists.tolist(), held_by, strict=True):
+            asking = who[where == list_]
+            if not len(asking):
                 continue
-            tables = np.einsum("qmw,mkw->mqk", near[part].reshape(len(part), PARTS, -1), words, optimize=True)
-            score = (near[part] @ centroids[list_])[:, None] + error[held][None, :]
+            score = np.repeat((near[part[asking]] @ centroids[list_])[:, None], len(held), axis=1)
             for m in range(PARTS):
-                score += tables[m][:, codes[held, m]]
-            able = score >= least[part][:, None] - 1e-9
-            for some in np.array_split(held[able.any(axis=0)], len(held) // 8192 + 1):
-                if not len(some):
-                    continue
-                cosine = np.round(q[part] @ x[some].T, 10)
-                cosine[some[None, :] == itself[part][:, None]] = -9
-                if len(some) >= k:
-                    least[part] = np.maximum(least[part], np.partition(cosine, len(some) - k, axis=1)[:, len(some) - k])
-                bound = np.maximum(least[part], -8)[:, None]
-                same = cosine == bound
-                row, column = np.nonzero((cosine > bound) | (same & (np.cumsum(same, axis=1) <= k)))
-                out.append((part[row], some[column], cosine[row, column]))
+                score += np.take(tables[m][asking], codes[held, m], axis=1)
+            new = np.flatnonzero(best[asking, 0] < -8)  # a first guess of the k-th best
+            if len(new) and len(held) > 4 * k:
+                guess = np.argpartition(-score[new], 4 * k, axis=1)[:, : 4 * k]
+                row, column = np.repeat(asking[new], 4 * k), held[guess.reshape(-1)]
+                other = column != itself[part[row]]
+                row, column = row[other], column[other]
+                guessed = merged(best, row, exact(q[part], x, row, column))
+                least = np.where(best[:, 0] < -8, guessed[:, 0], best[:, 0])
+            else:
+                least = best[:, 0]
+            able = score >= (least[asking, None] * kept_part[None, held] - spread[None, held] - 1e-9).astype(np.float32)
+            row, column = np.nonzero(able)
+            row, column = asking[row], held[column]
+            other = column != itself[part[row]]
+            row, column = row[other], column[other]
+            cosine = exact(q[part], x, row, column)
+            on = cosine >= least[row] - 1e-9
+            row, column, cosine = row[on], column[on], cosine[on]
+            best = merged(best, row, cosine)
+            on = cosine >= best[row, 0]
+            found.append((row[on], column[on], cosine[on]))
+        if found:
+            row, column, cosine = (np.concatenate(a) for a in zip(*found, strict=True))
+            on = cosine >= best[row, 0]
+            out.append((part[row[on]], column[on], cosine[on]))
     query, entry, cosine = (np.concatenate(a) for a in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-    kept = cosine >= least[query]
-    query, entry, cosine = query[kept], entry[kept], cosine[kept]
     order = np.lexsort((entry, -cosine, query))
-    query, entry, cosine = query[order], entry[order], cosine[order]
+    query, entry = query[order], entry[order]
     first = np.arange(len(query)) - np.searchsorted(query, query) < k
     query, entry = query[first], entry[first]
     return query, entry, np.einsum("nd,nd->n", q[query], x[entry])
 
 
-def neighbours(rows: DataFrame, k: int = K, probes: int = PROBES, share: float = SHARE) -> DataFrame:
-    """(field_name, key, other, cosine, rank): the k most similar other keys of the same field, by greatest cosine, of equal ones the least key.
+def tested_ranks(entries: DataFrame, tested: DataFrame, fitted: dict[str, Quantiser], k: int) -> dict[str, tuple[np.ndarray, list]]:
+    """For each field the place, in the order of nearness to the tested vector, of the list that holds each of its exact neighbours; and (key, other, cosine) of those.
 
-    rows: (field_name, key, v array<float>). Null, wrong-sized, non-finite and all-zero vectors and null keys are left out; a key that repeats counts once. Keys with
-    the same direction have cosine 1. Cosines equal to ten digits are ties. Fields may be of any number but few, as each has its own centroids.
+    One pass over all entries (field_name, key, v) against the tested ones, whose number is bounded; each task passes on k for each.
     """
-    spark = rows.sparkSession
+    spark = entries.sparkSession
+    asked = {f: g.sort_values("key") for f, g in tested.toPandas().groupby("field_name")}  # TESTED of each field
+    vectors = {f: unit(np.stack(g["v"].to_list()).astype(np.float64)) for f, g in asked.items()}
+    shared = spark.sparkContext.broadcast({f: (g["key"].tolist(), vectors[f]) for f, g in asked.items()})
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fields = np.array(batch.column(0).to_pylist(), object)
+            all_keys, raw = np.array(batch.column(1).to_pylist(), object), batch.column(2).flatten().to_numpy().reshape(-1, SIZE)
+            for field in sorted(set(fields.tolist()) & set(shared.value)):
+                asked_keys, q = shared.value[field]
+                at = np.flatnonzero(fields == field)
+                keys, x = all_keys[at], unit(raw[at].astype(np.float64))
+                order = np.argsort(keys.astype(str))
+                keys, x = keys[order], x[order]
+                cosine = np.round(q @ x.T, 10)
+                cosine[np.array(asked_keys, object)[:, None] == keys[None, :]] = -9
+                top = np.argsort(-cosine, axis=1, kind="stable")[:, :k]
+                row = np.repeat(np.arange(len(q)), top.shape[1])
+                column = top.reshape(-1)
+                real = cosine[row, column] > -8
+                row, column = row[real], column[real]
+                yield pa.RecordBatch.from_arrays([pa.array([field] * len(row), pa.string()), pa.array([asked_keys[i] for i in row], pa.string()), pa.array(keys[column].tolist(), pa.string()), pa.array(cosine[row, column])], ["field_name", "key", "other", "cosine"])
+
+    found = entries.mapInArrow(nearest, "field_name string, key string, other string, cosine double")
+    found = found.withColumn("rank", F.row_number().over(Window.partitionBy("field_name", "key").orderBy(F.desc("cosine"), "other"))).where(F.col("rank") <= k)
+    held = found.join(entries.select("field_name", F.col("key").alias("other"), "v"), ["field_name", "other"]).toPandas()  # k for each tested vector
+    out = {}
+    for field, group in held.groupby("field_name"):
+        centroids, place = fitted[field].centroids, {key: i for i, key in enumerate(asked[field]["key"])}
+        own = (unit(np.stack(group["v"].to_list()).astype(np.float64)).astype(np.float32) @ centroids.T).argmax(1)
+        near = vectors[field].astype(np.float32)[[place[key] for key in group["key"]]] @ centroids.T
+        out[field] = ((near > near[np.arange(len(group)), own][:, None]).sum(1), group[["key", "other", "cosine"]].values.tolist())
+    return out
+
+
+def visits_for(ranks: np.ndarray, lists: int, target: float = TARGET, probes: int = PROBES) -> int:
+    """The least number of lists in which ``target`` of the neighbours lie, at least ``probes`` if there are as many."""
+    needed = int(np.sort(ranks)[min(len(ranks) - 1, math.ceil(target * len(ranks)) - 1)]) + 1 if len(ranks) else 1
+    return min(lists, max(probes, needed))
+
+
+def by_direction(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (field_name, key, rep, n) of all valid keys, and entries (field_name, key, v), one for each direction."""
     vectors = cut(valid(rows).select("field_name", "key", "v").mapInArrow(direction, "field_name string, key string, v array<float>, d binary").withColumn("h1", F.xxhash64("d")).withColumn("h2", F.xxhash64(F.lit(3), "d")).drop("d"), "p2-vectors")
     same = ["field_name", "h1", "h2"]
     sized = vectors.groupBy(*same).agg(F.min("key").alias("rep"), F.count("*").alias("n"))
     members = cut(vectors.select("key", *same).join(sized, same).drop("h1", "h2"), "p2-members")
     entries = vectors.join(sized.select("field_name", F.col("rep").alias("key")), ["field_name", "key"], "left_semi").select("field_name", "key", "v")
+    return members, cut(entries, "p2-entries")
 
-    totals = {r[0]: r[1] for r in sized.groupBy("field_name").agg(F.count("*")).collect()}
+
+def fit(entries: DataFrame) -> tuple[dict[str, Quantiser], dict[str, int]]:
+    """A quantiser for each field, fitted on a bounded sample, and the number of the field's entries."""
+    totals = {r[0]: r[1] for r in entries.groupBy("field_name").agg(F.count("*")).collect()}
     fitted = {}
     for field, n in sorted(totals.items()):
-        some = entries.where(F.col("field_name") == field).orderBy(F.xxhash64(F.lit(9), "key"), "key").limit(SAMPLE).select("v").toPandas()["v"]
+        size = min(SAMPLE_MOST, max(SAMPLE, 8 * round(math.sqrt(n))))
+        some = entries.where(F.col("field_name") == field).orderBy(F.xxhash64(F.lit(9), "key"), "key").limit(size).select("v").toPandas()["v"]
         fitted[field] = Quantiser(unit(np.stack(some.to_list()).astype(np.float64)).astype(np.float32), n)
+    return fitted, totals
+
+
+def tested_of(entries: DataFrame, fields: list[str], seed: int, tested: int = TESTED) -> DataFrame:
+    """``tested`` entries of each field, by hash."""
+    some = [entries.where(F.col("field_name") == f).orderBy(F.xxhash64(F.lit(seed), "key"), "key").limit(tested) for f in fields]
+    out = some[0]
+    for more in some[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def neighbours(rows: DataFrame, k: int = K, target: float = TARGET, visits: int | None = None, deviations: float = DEVIATIONS) -> DataFrame:
+    """(field_name, key, other, cosine, rank): the k most similar other keys of the same field, by greatest cosine, of equal ones the least key.
+
+    rows: (field_name, key, v array<float>). Null, wrong-sized, non-finite and all-zero vectors and null keys are left out; a key that repeats counts once. Keys with
+    the same direction have cosine 1. Cosines equal to ten digits are ties. Fields may be of any number but few, as each has its own centroids.
+    target: the part of the neighbours that must lie in the lists visited, measured; visits: lists that a query visits in place of that.
+    """
+    spark = rows.sparkSession
+    members, entries = by_direction(rows)
+    fitted, totals = fit(entries)
     if not fitted:
         return spark.createDataFrame([], "field_name string, key string, other string, cosine double, rank int")
+    if visits is None:
+        ranks = tested_ranks(entries, tested_of(entries, list(fitted), 13), fitted, k)
+        visit = {f: visits_for(ranks[f][0] if f in ranks else np.zeros(0), len(q.centroids), target) for f, q in fitted.items()}
+    else:
+        visit = {f: min(visits, len(q.centroids)) for f, q in fitted.items()}
     per = {f: max(1, ROWS * len(q.centroids) // totals[f]) for f, q in fitted.items()}  # lists of a shelf
     shared = spark.sparkContext.broadcast({f: (q.centroids, q.words) for f, q in fitted.items()})  # bounded by LISTS and WORDS
 
@@ -183,11 +288,10 @@ def neighbours(rows: DataFrame, k: int = K, probes: int = PROBES, share: float =
                 for part in np.array_split(at, len(at) // 4096 + 1):
                     u = unit(x[part].astype(np.float64)).astype(np.float32)
                     near = u @ q.centroids.T
-                    visit = visited(near.shape[1], probes, share)
-                    first = np.argpartition(-near, visit - 1, axis=1)[:, :visit]
+                    first = np.argpartition(-near, visit[field] - 1, axis=1)[:, : visit[field]]
                     own = near.argmax(1)
                     code = q.code(u, own)
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, visit * len(part) + 1, visit, dtype=np.int32)), pa.array(first.reshape(-1).astype(np.int32)))
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, visit[field] * len(part) + 1, visit[field], dtype=np.int32)), pa.array(first.reshape(-1).astype(np.int32)))
                     rows = batch.take(pa.array(part))
                     yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([r.tobytes() for r in x[part]], pa.binary()), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in code], pa.binary()), lists], ["field_name", "key", "raw", "own", "code", "visits"])
 
@@ -216,7 +320,7 @@ def neighbours(rows: DataFrame, k: int = K, probes: int = PROBES, share: float =
         index, asking = rows[entry].sort_values("key"), rows[~entry]
         vectors = lambda df: unit(np.frombuffer(b"".join(df["raw"]), np.float32).reshape(len(df), SIZE).astype(np.float64))
         codes = np.frombuffer(b"".join(index["code"]), np.uint8).reshape(-1, PARTS)
-        at, others, cosine = best_of(vectors(asking), asking["visits"].to_list(), vectors(index), index["own"].to_numpy(int), codes, pd.Index(index["key"]).get_indexer(asking["key"]), *shared.value[field], k)
+        at, others, cosine = best_of(vectors(asking), asking["visits"].to_list(), vectors(index), index["own"].to_numpy(int), codes, pd.Index(index["key"]).get_indexer(asking["key"]), *shared.value[field], k, deviations)
         return pd.DataFrame({"field_name": field, "key": asking["key"].to_numpy()[at], "other": index["key"].to_numpy()[others], "cosine": cosine})
 
     found = both.groupBy(*group).applyInPandas(compare, "field_name string, key string, other string, cosine double")
@@ -234,6 +338,24 @@ def neighbours(rows: DataFrame, k: int = K, probes: int = PROBES, share: float =
     return ranked(wide.unionByName(twins))
 
 
+def accuracy(rows: DataFrame, k: int = K, target: float = TARGET, tested: int = TESTED) -> DataFrame:
+    """(field_name, vectors, lists, visited, recall): the part of the exact neighbours of ``tested`` vectors, others than those the visits were set by, that ``neighbours`` gives. Any key counts as one of the k neighbours if its cosine is that of the last of them or more."""
+    spark = rows.sparkSession
+    _, entries = by_direction(rows)
+    fitted, totals = fit(entries)
+    schema = "field_name string, vectors long, lists int, visited int, recall double"
+    if not fitted:
+        return spark.createDataFrame([], schema)
+    ranks = tested_ranks(entries, tested_of(entries, list(fitted), 13), fitted, k)
+    other = tested_ranks(entries, tested_of(entries, list(fitted), 29, tested), fitted, k)
+    wanted = [(f, *pair) for f, (_, pairs) in other.items() for pair in pairs]
+    listed = spark.createDataFrame(wanted, "field_name string, key string, other string, cosine double").groupBy("field_name", "key").agg(F.sort_array(F.collect_list("cosine"), False).alias("wanted"))  # k for each of the tested
+    got = neighbours(rows, k, target).groupBy("field_name", "key").agg(F.sort_array(F.collect_list("cosine"), False).alias("got"))
+    hits = F.least(F.size("wanted"), F.size(F.filter("got", lambda g: g >= F.element_at("wanted", -1) - 1e-9)))
+    by = {r["field_name"]: r["recall"] for r in listed.join(got, ["field_name", "key"], "left").groupBy("field_name").agg((F.sum(F.coalesce(hits, F.lit(0))) / F.sum(F.size("wanted"))).alias("recall")).collect()}
+    return spark.createDataFrame([(f, totals[f], len(q.centroids), visits_for(ranks[f][0] if f in ranks else np.zeros(0), len(q.centroids), target), by.get(f)) for f, q in fitted.items()], schema)
+
+
 def stored_vectors(models: DataFrame, annotations: DataFrame) -> DataFrame:
     """(field_name, key, v) of neural_models.features by id and of annotations.w2v by derived key."""
     own = models.select(F.lit("features").alias("field_name"), F.col("id").alias("key"), F.col("features").alias("v"))
@@ -250,3 +372,8 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of keys, one of which is among the five most similar of the other, with a cosine of 0.85 or more."""
     near = p2_neighbours(spark, folder).where(F.col("cosine") >= LEAST)
     return near.select("field_name", F.least("key", "other").alias("key_a"), F.greatest("key", "other").alias("key_b")).distinct()
+
+
+def p2_accuracy(spark: SparkSession, folder: str) -> DataFrame:
+    """The stated loss of accuracy of p2_neighbours."""
+    return accuracy(stored_vectors(table(spark, folder, "neural_models"), table(spark, folder, "annotations")))

@@ -10,6 +10,7 @@ QUERIES = {
     "p1_sample": proportions.p1_sample,
     "p2_found": neighbours.p2_found,
     "p2_neighbours": neighbours.p2_neighbours,
+    "p2_accuracy": neighbours.p2_accuracy,
     "p3_found": near_duplicates.p3_found,
     "p3_groups": near_duplicates.p3_groups,
     "p4_found": subjects.p4_found,
