@@ -150,6 +150,27 @@ def test_subjects_of_documents_left_out(spark):
     assert len(found & truth) >= 0.97 * len(truth) and len(found - truth) <= 0.03 * len(truth)
 
 
+def test_posteriors_are_independent():
+    """A sentence with words of two subjects is about both, one of faint words about none; the posterior of a subject doesn't depend on the others'."""
+    model = np.zeros((4, 3), np.float32)
+    model[0, 0] = model[1, 1] = 5
+    model[2] = [0.1, 0.2, 0.3]
+    counts = np.ones((100, 3))
+    counts[0, 0] = 300
+    counts[1] = [60, 40, 50]
+    weights = subjects.weights(counts)
+    assert weights[0, 0] > subjects.FAINT and not weights[1].any()
+    curve = np.tile([1.0, -3.0], (3, 1))
+    scores = np.array([model[0] + model[1], model[0], 3 * model[2], model[0] + model[1] + 4 * model[1]])
+    p = subjects.calibrated(scores, curve)
+    assert (p >= subjects.SURE).tolist() == [[True, True, False], [True, False, False], [False] * 3, [True, True, False]]
+    assert p[0, 0] == p[1, 0] == p[3, 0]
+    rng = np.random.default_rng(1)
+    x = rng.uniform(0, 10, 5000)
+    slope, offset = subjects.fit_curve(x, (rng.random(5000) < 1 / (1 + np.exp(-(0.8 * x - 4)))).astype(float), np.ones(5000))
+    assert abs(slope - 0.8) < 0.1 and abs(offset + 4) < 0.5
+
+
 def test_sample_keeps_targets_and_floors(spark):
     sample, report = proportions.article_sample(spark, MORE)
     rows = sample.collect()

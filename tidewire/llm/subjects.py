@@ -6,9 +6,12 @@ missing or wrong. Expectation-maximization then goes on with sentences, as a sen
 sentence a posterior over the subjects and none, with the document's labels as a weak prior and uniform where there are none; the M-step counts words by
 posterior. All documents take part in each round, labelled or not.
 
-Posteriors are calibrated for each subject on its own: a logistic curve of a subject's margin over the next best, fitted on sentences of
-documents with correct subjects (and, with less weight, with labels) by whether the subject is among them. A sentence is about its best subject if the
-calibrated posterior is at least ``SURE``. A document has each subject that a quarter of its sentences with a subject are about.
+All words of a sentence are summed, but words that speak for no subject by ``FAINT`` or more weigh nothing: so long sentences of words that mean little don't add up to much, and
+those said in many documents don't draw themselves into one subject with each round.
+
+Posteriors are calibrated for each subject on its own, whatever the others have: a logistic curve of the evidence for the subject, fitted on sentences with any of documents with correct subjects (and,
+with less weight, with labels) by whether the subject is among them. A sentence is about each subject whose
+calibrated posterior is at least ``SURE``, so it may be about two or none. A document has each subject that a quarter of its sentences with a subject are about.
 
 Words are hashed into ``FEATURES`` slots, so the model that is broadcast and the counts that come back are bounded (12 subjects: 12 MB), whatever
 the vocabulary. Each round is a pass over the documents with counts in local arrays, then a sum by slot.
@@ -32,8 +35,8 @@ from tidewire.storage import cut
 
 #: Slots of hashed words; rounds of expectation-maximization; smoothing of counts.
 FEATURES, ROUNDS, SMOOTHING = 1 << 17, 5, 2.0
-#: Words of a sentence that speak for a subject: the strongest ones, so that a long sentence of words that mean little doesn't add up to much (and, said in many documents, to ever more with each round).
-TOP = 3
+#: Weight of a word for its best subject below which it weighs nothing; evidence beyond which a posterior rises no more.
+FAINT, FULL = 0.5, 12.0
 #: Weight of correct subjects, of iptc and of pred in the first counts; weight of no label in a sentence's prior.
 GOLD, GIVEN, GUESSED, ANY = 8.0, 1.0, 0.7, 0.15
 #: Calibrated posterior from which a sentence has a subject; documents have those of one in so many of such sentences.
@@ -111,15 +114,10 @@ class Batch:
         self.gold = rows.column(4).to_numpy(zero_copy_only=False)
 
     def scores(self, model: np.ndarray) -> np.ndarray:
-        """Sum of the weights of each sentence's ``TOP`` strongest words, by subject."""
+        """Sum of the weights of each sentence's words, by subject."""
         if not len(self.sizes):
             return np.zeros((0, model.shape[1]))
-        strong = model.max(1)[self.slots]
-        order = np.lexsort((-strong, self.word))
-        rank = np.arange(len(order)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
-        order = order[rank < TOP]
-        count = np.minimum(self.sizes, TOP)
-        return np.add.reduceat(model[self.slots[order]], np.cumsum(count) - count, axis=0, dtype=np.float64)
+        return np.add.reduceat(model[self.slots], np.cumsum(self.sizes) - self.sizes, axis=0, dtype=np.float64)
 
 
 def posterior(scores: np.ndarray, prior: np.ndarray) -> np.ndarray:
@@ -131,11 +129,9 @@ def posterior(scores: np.ndarray, prior: np.ndarray) -> np.ndarray:
     return p / p.sum(1, keepdims=True)
 
 
-def margins(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The best subject of each sentence and its lead over the next."""
-    best = scores.argmax(1)
-    top = np.partition(scores, -2, axis=1) if scores.shape[1] > 1 else np.concatenate([np.zeros((len(scores), 1)), scores], axis=1)
-    return best, top[:, -1] - top[:, -2]
+def calibrated(scores: np.ndarray, curve: np.ndarray) -> np.ndarray:
+    """Posterior of each subject for each sentence, on its own; 0 without evidence. curve: slope and offset by subject."""
+    return np.where(scores > 0, 1 / (1 + np.exp(-(curve[:, 0] * np.minimum(scores, FULL) + curve[:, 1]))), 0.0)
 
 
 def weights(counts: np.ndarray) -> np.ndarray:
@@ -143,7 +139,9 @@ def weights(counts: np.ndarray) -> np.ndarray:
     rest = counts.sum(1, keepdims=True) - counts
     seen = max(1, int((counts.sum(1) > 0).sum()))
     log = np.log(rest + SMOOTHING) - np.log(rest.sum(0, keepdims=True) + SMOOTHING * seen)
-    return (log.mean(1, keepdims=True) - log).astype(np.float32)
+    out = (log.mean(1, keepdims=True) - log).astype(np.float32)
+    out[out.max(1) < FAINT] = 0
+    return out
 
 
 def _count(docs: DataFrame, n: int, model: np.ndarray | None) -> np.ndarray:
@@ -172,33 +170,33 @@ def _count(docs: DataFrame, n: int, model: np.ndarray | None) -> np.ndarray:
     return out
 
 
+def fit_curve(x: np.ndarray, right: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Slope and offset of a logistic curve of evidence x; towards (1, -3) where there is little to fit."""
+    x, out, centre = np.stack([np.minimum(x, FULL), np.ones(len(x))], 1), np.array([1.0, -3.0]), np.array([1.0, -3.0])
+    for _ in range(25):  # a Gaussian prior of deviation 0.5 and 1 around the usual curve
+        p = 1 / (1 + np.exp(-x @ out))
+        gradient = x.T @ (weight * (right - p)) - (out - centre) / [0.25, 1.0]
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag([4.0, 1.0]), gradient)
+        out += step / max(1.0, np.abs(step).max() / 0.5)
+    return np.array([max(out[0], 0.05), out[1]])
+
+
 def _calibrate(docs: DataFrame, n: int, model: np.ndarray) -> np.ndarray:
-    """Slope and offset of each subject's logistic curve of the margin; towards (1, -3) where there is little to fit."""
+    """Slope and offset of each subject's logistic curve of its evidence."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             b = Batch(rows, n)
-            best, lead = margins(b.scores(shared.value))
-            on = (b.prior[b.doc] > 0).any(1)
-            right = b.prior[b.doc, best] > 0
-            weight = np.where(b.gold[b.doc], 1.0, 0.1)
-            yield pa.RecordBatch.from_arrays([pa.array(best[on].astype(np.int32)), pa.array(lead[on]), pa.array(right[on]), pa.array(weight[on])], ["best", "lead", "is_right", "weight"])
+            scores = b.scores(shared.value)
+            at, subject = np.nonzero(scores > 0)
+            right, weight = b.prior[b.doc[at], subject] > 0, np.where(b.gold[b.doc[at]], 1.0, 0.1)
+            yield pa.RecordBatch.from_arrays([pa.array(subject.astype(np.int32)), pa.array(scores[at, subject]), pa.array(right), pa.array(weight)], ["subject", "evidence", "is_right", "weight"])
 
     some = docs.where("size(sizes) > 0 and exists(prior, x -> x > 0)").orderBy(F.desc("gold"), F.xxhash64("id"), "id").limit(CALIBRATION // 8)
-    rows = some.mapInArrow(go, "best int, lead double, is_right boolean, weight double").toPandas()
-    out = np.tile([1.0, -3.0], (n, 1))
-    for c in range(n):
-        own = rows[rows["best"] == c]
-        x = np.stack([np.minimum(own["lead"].to_numpy(float), 12), np.ones(len(own))], 1)
-        y, w, centre = own["is_right"].to_numpy(float), own["weight"].to_numpy(float), out[c].copy()
-        for _ in range(25):  # a Gaussian prior of deviation 0.5 and 1 around the usual curve
-            p = 1 / (1 + np.exp(-x @ out[c]))
-            gradient = x.T @ (w * (y - p)) - (out[c] - centre) / [0.25, 1.0]
-            step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + np.diag([4.0, 1.0]), gradient)
-            out[c] += step / max(1.0, np.abs(step).max() / 0.5)
-    out[:, 0] = np.maximum(out[:, 0], 0.05)
-    return out
+    rows = some.mapInArrow(go, "subject int, evidence double, is_right boolean, weight double").toPandas()
+    own = [rows[rows["subject"] == c] for c in range(n)]
+    return np.stack([fit_curve(x["evidence"].to_numpy(float), x["is_right"].to_numpy(float), x["weight"].to_numpy(float)) for x in own])
 
 
 def classify(documents: DataFrame, topics: DataFrame, edges: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -225,14 +223,15 @@ def classify(documents: DataFrame, topics: DataFrame, edges: DataFrame, labels:
         model, curve = shared.value
         for rows in batches:
             b = Batch(rows, n)
-            best, lead = margins(b.scores(model))
-            p = 1 / (1 + np.exp(-(curve[best, 0] * np.minimum(lead, 12) + curve[best, 1])))
-            on = p >= SURE
-            key = b.doc[on] * n + best[on]
+            p = calibrated(b.scores(model), curve)
+            sentence, subject = np.nonzero(p >= SURE)
+            some = np.zeros(len(p), bool)
+            some[sentence] = True
+            key = b.doc[sentence] * n + subject
             cell, at = np.unique(key, return_inverse=True)
             count, most = np.bincount(at, minlength=len(cell)), np.zeros(len(cell))
-            np.maximum.at(most, at, p[on])
-            total = np.bincount(b.doc[on], minlength=rows.num_rows)[cell // n]
+            np.maximum.at(most, at, p[sentence, subject])
+            total = np.bincount(b.doc[some], minlength=rows.num_rows)[cell // n]
             yield pa.RecordBatch.from_arrays(
                 [rows.column(0).take(pa.array(cell // n)), pa.array([names[i] for i in cell % n], pa.string()), pa.array(total.astype(np.int64)), pa.array(count.astype(np.int64)), pa.array(count / np.maximum(total, 1)), pa.array(most)],
                 ["id", "subject", "n_sentences", "n_subject", "share", "posterior"],
