@@ -228,3 +228,31 @@ def test_scoring_stream(spark):
     stream = scoring.scored(scoring.arriving(spark, path, "article_id string, term string, mc int, loaded_at timestamp"), weights)
     out = scoring.run_to_end(stream, "scored_articles", new_path(spark, "state"), "complete").collect()
     assert [(r["article_id"], r["category"], r["margin"]) for r in out] == [("a", "c", 0.75)]
+
+
+def test_terms_are_counted_in_the_row(spark):
+    rows = spark.createDataFrame([(1, "b a  b"), (2, None), (3, ""), (4, "$ x x"), (5, "w " * 30_000)], "id long, text string")
+    got = {(r["doc"], r["term"]): (r["mc"], r["offset"], r["total"]) for r in terms.text_terms(rows, "id", "text", totals=True).collect()}
+    assert got == {(1, "a"): (1, 1, 3), (1, "b"): (2, 0, 3), (4, "$"): (1, 0, 3), (4, "x"): (2, 1, 3), (5, "w"): (30_000, 0, 30_000)}
+    plan = terms.text_terms(rows, "id", "text")._jdf.queryExecution().toString()
+    assert "Exchange" not in plan.split("Physical Plan")[1]
+
+
+@pytest.mark.parametrize("name", ["relative_buckets", "subsample_labels"])
+def test_no_window_over_a_hot_group(spark, name):
+    """Train, or a label of most rows, is no task's alone."""
+    rows = spark.range(3000).select(F.col("id").cast("string").alias("id"), F.array(F.when(F.col("id") % 300 == 0, "rare").otherwise("hot")).alias("iptc"))
+    out = splits.relative_buckets(rows, 3, "id", "id") if name == "relative_buckets" else splits.subsample_labels(rows)
+    plan = out._jdf.queryExecution().toString().split("Physical Plan")[1]
+    assert "hashpartitioning(bucket" not in plan and "row_number" not in plan
+    if name == "relative_buckets":
+        by = {(r["bucket"], r["part"]): r["count"] for r in out.groupBy("bucket", "part").count().collect()}
+        assert by == {(-1, "train"): 1000} | {(b, p): 333 for b in range(3) for p in ("test", "validation")} and out.select("id").distinct().count() == 2998
+    else:
+        assert out.count() == 20
+
+
+def test_places_in_the_whole_order(spark):
+    rows = spark.range(5000).withColumn("k", F.col("id") % 7)
+    got = [(r["k"], r["id"], r["idx"]) for r in splits.with_index(rows, "k", "id").collect()]
+    assert [i for _, _, i in sorted(got)] == list(range(5000))

@@ -27,18 +27,19 @@ def share(*keys: str | Column, seed: int = SEED) -> Column:
 def with_index(rows: DataFrame, *order: str | Column, into: str = "idx") -> DataFrame:
     """rows with their place from 0 in an order that must tell all rows apart.
 
-    One range shuffle; the partitions' sizes, as many numbers as partitions, are joined back. No task sorts more than its range.
+    One range shuffle, a sort within its partitions and a running number in each; the partitions' sizes, as many numbers as partitions, are joined back. No task sorts more than its range.
     """
     from tidewire.storage import cut
 
     columns = [F.col(c) if isinstance(c, str) else c for c in order]
     keyed = rows.withColumns({f"_o{i}": c for i, c in enumerate(columns)})
     names = [f"_o{i}" for i in range(len(columns))]
-    placed = cut(keyed.repartitionByRange(*names).withColumn("_part", F.spark_partition_id()), "index")
+    spread = keyed.repartitionByRange(*names).sortWithinPartitions(*names)
+    # 33 low bits of this number are the row's place in its partition, the rest is the partition's number
+    placed = cut(spread.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33)).withColumn("_own", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))), "index")
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_part").orderBy(*names))
-    return placed.withColumn("_own", own).join(F.broadcast(before), "_part").withColumn(into, F.col("_before") + F.col("_own") - 1).drop("_part", "_own", "_before", *names)
+    return placed.join(F.broadcast(before), "_part").withColumn(into, F.col("_before") + F.col("_own")).drop("_part", "_own", "_before", "_id", *names)
 
 
 def shuffled(rows: DataFrame, *keys: str, seed: int = SEED) -> DataFrame:
@@ -106,11 +107,13 @@ def relative_buckets(rows: DataFrame, buckets: int, key: str, *order: str | Colu
     s = F.count("*") / F.lit(0.4 * buckets + 0.6)
     n = rows.agg(F.round(0.6 * s).cast("long").alias("_train"), F.round(0.2 * s).cast("long").alias("_half"))
     joined = placed.join(F.broadcast(n))
+    train = joined.where("idx < _train").withColumn("bucket", F.lit(-1)).withColumn("part", F.lit("train"))
     bucket = F.floor((F.col("idx") - F.col("_train")) / F.when(F.col("_half") > 0, 2 * F.col("_half"))).cast("int")
-    held = joined.withColumn("bucket", F.when(F.col("idx") < F.col("_train"), -1).otherwise(bucket)).where(F.col("bucket") < buckets)
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(luck(key, seed=seed), key))
-    part = F.when(F.col("bucket") < 0, "train").when(rank <= F.col("_half"), "test").otherwise("validation")
-    return held.withColumn("part", part).drop("_train", "_half", "idx")
+    held = joined.where("idx >= _train").withColumn("bucket", bucket).where(F.col("bucket") < buckets).drop("idx")
+    # the place by luck within a bucket: the whole order's, less that of the buckets before, all of which are full
+    rank = F.col("_place") - F.col("bucket").cast("long") * 2 * F.col("_half")
+    tested = with_index(held, "bucket", luck(key, seed=seed), key, into="_place").withColumn("part", F.when(rank < F.col("_half"), "test").otherwise("validation"))
+    return train.drop("idx", "_train", "_half").unionByName(tested.drop("_place", "_train", "_half"))
 
 
 def excluded_terms(rows: DataFrame, part: str, term: str) -> DataFrame:
@@ -160,10 +163,13 @@ def each_label(articles: DataFrame) -> DataFrame:
 
 def subsample_labels(articles: DataFrame, seed: int = SEED) -> DataFrame:
     """For every label as many articles as the rarest label has, drawn by hash; an article that several labels draw comes once."""
-    rows = each_label(articles).select("id", "label")
+    from tidewire.storage import cut
+
+    rows = cut(each_label(articles).select("id", "label"), "labels")
     least = rows.groupBy("label").agg(F.count("*").alias("n")).agg(F.min("n").alias("_least"))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(luck("id", "label", seed=seed), "id"))
-    return rows.withColumn("_rank", rank).join(F.broadcast(least)).where("_rank <= _least").select("id").distinct()
+    placed = with_index(rows, "label", luck("id", "label", seed=seed), "id")
+    first = placed.groupBy("label").agg(F.min("idx").alias("_first"))
+    return placed.join(first, "label").join(F.broadcast(least)).where("idx - _first < _least").select("id").distinct()
 
 
 def supersample_labels(articles: DataFrame, cap: int | None = None, seed: int = SEED) -> DataFrame:

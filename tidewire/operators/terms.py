@@ -1,7 +1,7 @@
 """Terms of texts and annotations: counts, document frequencies, TF-IDF, vocabulary filters.
 
-The working form of a collection is one row for each document and term: (doc, term, mc, offset). Sums over a document's terms are windows partitioned
-by document, the partitioning that the per-document aggregation has already made.
+The working form of a collection is one row for each document and term: (doc, term, mc, offset). Terms of a text are counted within its row, and the text's number of tokens goes
+along, so that nothing is shuffled by document; the only shuffle of the rows is by term, where they meet the vocabulary.
 """
 
 from __future__ import annotations
@@ -30,15 +30,24 @@ def word_count(texts: DataFrame, text: str = "text") -> DataFrame:
     return words.where("token <> ''").groupBy("token").agg(F.count("*").alias("n"))
 
 
-def text_terms(texts: DataFrame, doc: str, text: str, stem: bool = False) -> DataFrame:
-    """(doc, term, mc, offset): a text's tokens with their number and the place of the first; null texts have none."""
+def text_terms(texts: DataFrame, doc: str, text: str, stem: bool = False, totals: bool = False) -> DataFrame:
+    """(doc, term, mc, offset): a text's tokens with their number and the place of the first; null texts have none. A row is a document. totals: with a column total, the number of the text's tokens.
+
+    Counted in the row: the tokens are sorted with their places, and each run of a token is one term.
+    """
     column = tokens(F.col(text))
     if stem:
         from tidewire.functions.stemmer import stem_all
 
         column = stem_all(column)
-    rows = texts.select(F.col(doc).alias("doc"), F.posexplode(column).alias("offset", "term"))
-    return rows.groupBy("doc", "term").agg(F.count("*").alias("mc"), F.min("offset").alias("offset"))
+    held = texts.select(F.col(doc).alias("doc"), column.alias("_t"))
+    held = held.select("doc", F.sort_array(F.transform("_t", lambda t, i: F.struct(t.alias("term"), i.alias("offset")))).alias("_s"))
+    held = held.select("doc", "_s", F.expr("filter(transform(_s, (x, i) -> if(i = 0 or x.term <> _s[i - 1].term, i, -1)), i -> i >= 0)").alias("_at"))
+    held = held.select("doc", F.size("_s").cast("long").alias("total"), F.expr("transform(_at, (i, j) -> struct(_s[i].term as term, cast(if(j + 1 < size(_at), _at[j + 1], size(_s)) - i as bigint) as mc, _s[i].offset as offset))").alias("_x"))
+    more = ["total"] if totals else []
+    # the outer form, as of a plain explode the optimiser makes a filter that sorts the tokens once for each of them
+    rows = held.select("doc", *more, F.explode_outer("_x").alias("_x")).where("_x is not null")
+    return rows.select("doc", "_x.term", "_x.mc", "_x.offset", *more)
 
 
 def document_frequency(rows: DataFrame, doc: str, term: str, threshold: int = 0) -> DataFrame:
@@ -63,17 +72,17 @@ def fit_tfidf(rows: DataFrame, doc: str, term: str, threshold: int = 0) -> tuple
     return vocabulary, kept.agg(F.count_distinct(doc).alias("documents"))
 
 
-def tfidf(rows: DataFrame, vocabulary: DataFrame, documents: DataFrame, doc: str, term: str, mc: str = "mc", all_terms: bool = True) -> DataFrame:
+def tfidf(rows: DataFrame, vocabulary: DataFrame, documents: DataFrame, doc: str, term: str, mc: str = "mc", all_terms: bool = True, total: str | None = None) -> DataFrame:
     """rows with tf = mc / sum of mc over the document, idf = ln(documents / df) and their product; terms outside the vocabulary have idf 0.
 
-    all_terms: whether the sum runs over all terms of the document or over those of the vocabulary, which then are all that is left. A document whose sum is 0 has
-    tf 0. documents has one row, so its broadcast is bounded.
+    all_terms: whether the sum runs over all terms of the document or over those of the vocabulary, which then are all that is left. total: a column that holds the sum over all terms,
+    which then goes; without it the sum is a window, which shuffles the rows by document. A document whose sum is 0 has tf 0. documents has one row, so its broadcast is bounded.
     """
     joined = rows.join(vocabulary.withColumnRenamed("term", term), term, "left" if all_terms else "inner").join(F.broadcast(documents))
-    total = F.sum(F.col(mc)).over(Window.partitionBy(doc))
-    tf = F.coalesce(F.try_divide(F.col(mc).cast("double"), total), F.lit(0.0))
+    whole = F.col(total) if total and all_terms else F.sum(F.col(mc)).over(Window.partitionBy(doc))
+    tf = F.coalesce(F.try_divide(F.col(mc).cast("double"), whole), F.lit(0.0))
     idf = F.when(F.col("df").isNull(), 0.0).otherwise(F.log(F.col("documents") / F.col("df")))
-    return joined.withColumn("tf", tf).withColumn("idf", idf).withColumn("tf_idf", F.col("tf") * F.col("idf")).drop("df", "documents")
+    return joined.withColumn("tf", tf).withColumn("idf", idf).withColumn("tf_idf", F.col("tf") * F.col("idf")).drop("df", "documents", *([total] if total else []))
 
 
 def tf_variants(mc: Column, total: Column, most: Column, df: Column, documents: Column) -> dict[str, Column]:

@@ -25,7 +25,7 @@ def text_terms(spark, d):
 
 def kept_terms(spark, d):
     """The same, written once for queries that read them several times with different columns: texts are tokenised once."""
-    return cut(text_terms(spark, d), "terms")
+    return cut(terms.text_terms(docs(spark, d), "doc_id", "text", totals=True), "terms")
 
 
 @query(rf"select token, count(*) n from (select regexp_replace(w, '[^A-Za-z0-9]', '', 'g') token from (select unnest(string_split_regex(text, '{SPACE}')) w from documents)) where token <> '' group by 1")
@@ -65,7 +65,7 @@ def idf(spark, d):
 @query(f'with {_FIT}, t as (select doc, terms.term, mc, "offset", mc / sum(mc) over (partition by doc) tf, case when df is null then 0 else ln(documents / df) end idf from terms left join vocab using (term), n) select doc, term, mc, "offset", round(tf, 6) tf, round(idf, 6) idf, round(tf * idf, 6) tf_idf from t')
 def tfidf(spark, d):
     rows = kept_terms(spark, d)
-    out = terms.tfidf(rows, *terms.fit_tfidf(rows, "doc", "term", DF), "doc", "term")
+    out = terms.tfidf(rows, *terms.fit_tfidf(rows, "doc", "term", DF), "doc", "term", total="total")
     return out.withColumns({c: r6(c) for c in ("tf", "idf", "tf_idf")})
 
 
@@ -84,7 +84,7 @@ def tfidf_annotations(spark, d):
 def tf_variants(spark, d):
     rows = kept_terms(spark, d)
     vocabulary, n = terms.fit_tfidf(rows, "doc", "term", DF)
-    w = Window.partitionBy("doc")
+    w = Window.partitionBy("doc")  # the sums are over the terms of the vocabulary
     joined = rows.join(vocabulary, "term").join(F.broadcast(n))
     made = terms.tf_variants(F.col("mc"), F.sum("mc").over(w), F.max("mc").over(w), F.col("df"), F.col("documents"))
     return joined.select("doc", "term", *[r6(c).alias(k) for k, c in made.items()])
@@ -100,8 +100,8 @@ def vocab_filter(spark, d):
 def top_terms_per_lang(spark, d):
     """The ten terms of greatest TF-IDF in each language."""
     rows = kept_terms(spark, d)
-    weighted = terms.tfidf(rows, *terms.fit_tfidf(rows, "doc", "term", DF), "doc", "term").where("idf > 0 or tf_idf = 0")
-    named = weighted.join(terms.document_frequency(rows, "doc", "term", DF).select("term"), "term", "left_semi")
+    vocabulary, n = terms.fit_tfidf(rows, "doc", "term", DF)
+    named = terms.tfidf(terms.vocabulary_filter(rows, vocabulary), vocabulary, n, "doc", "term", total="total").select("doc", "term", "tf_idf")
     langs = docs(spark, d).where("lang is not null").select(F.col("doc_id").alias("doc"), "lang")
     joined = named.withColumn("tf_idf", r6("tf_idf")).join(langs, "doc")
     return terms.top_terms(joined, "lang", "term", "tf_idf", 10).withColumn("rank", F.col("rank").cast("long"))
