@@ -290,6 +290,8 @@ def test_pairs_follow_changes(spark):
         assert got == {p: (c, n[p[0]], n[p[1]], len(last)) for p, c in k.items()}
         assert {p for p in got if before.get(p, (0, 0, 0))[:3] != got[p][:3]} <= set(affected)
         before = got
+        if step != 1:
+            state.refresh()
         state = cooccurrence.PairTable(spark, state.path)
 
 
@@ -299,16 +301,18 @@ def test_small_batch_rewrites_its_buckets_only(spark):
     kinds = "field_name string, basket string, version timestamp, items array<string>"
     state = cooccurrence.PairTable(spark, buckets=16)
     state.update(spark.createDataFrame(rows, kinds))
+    state.refresh()
     before = {name: dict(of) for name, of in state.manifest.items()}
     reader = cooccurrence.PairTable(spark, state.path)
     affected = {(r["item_a"], r["item_b"]) for r in state.update(spark.createDataFrame([("f", "new", None, ["i1", "i2"])], kinds)).collect()}
-    assert affected == {("i0", "i1"), ("i1", "i2"), ("i2", "i3")}
+    assert affected == {("i0", "i1"), ("i1", "i2"), ("i2", "i3")} and state.scores().where("item_a = 'i1' and item_b = 'i2'").first()["k"] == 11
+    state.refresh()
     changed = {name: {b for b in of | before[name] if of.get(b) != before[name].get(b)} for name, of in state.manifest.items()}
     assert len(changed["baskets"]) == len(changed["pairs"]) == 1 and len(changed["items"]) <= 2 and len(changed["scores"]) <= 3 and len(before["baskets"]) == 16
     assert reader.scores().where("item_a = 'i1' and item_b = 'i2'").first()["k"] == 10 and reader.totals == {"f": 400}
     assert cooccurrence.PairTable(spark, state.path).scores().where("item_a = 'i1' and item_b = 'i2'").first()["k"] == 11
     state.update(spark.createDataFrame([("f", "new", None, [])], kinds))
-    assert state._manifests() == [2, 3]
+    assert state._manifests() == [4, 5]
     again = cooccurrence.PairTable(spark, state.path)
     assert sum(r["k"] for r in again.scores().collect()) == 400 and again.totals == {"f": 401} == state.totals
 

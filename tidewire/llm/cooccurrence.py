@@ -3,7 +3,8 @@
 The pair table is incremental and lives in a folder. A batch of baskets is compared with the stored ones of the buckets it falls in; each changed basket emits
 its new pairs and items with +1 and its old ones with -1, and equal deltas are summed before they are shuffled. Baskets, counts and scores are kept in hash
 buckets, each a folder of Parquet files; a merge reads and rewrites the buckets that its deltas fall in, and nothing else. The association of a pair is k * N / (n_a * n_b). N is the same for
-all pairs and joins when scores are read, so what a batch affects are pairs with a changed count or a changed item: their k, n_a and n_b are recomputed and merged into the stored scores.
+all pairs and joins when scores are read, so what batches affect are pairs with a changed count or a changed item: their k, n_a and n_b are recomputed, either when scores are read
+or by ``refresh``, which merges them into the stored scores; the rest is read as it is stored.
 
 A manifest with a number of its own says which version of each bucket holds, and how many baskets there are. It is written under another name and then renamed, so a
 reader sees the old state or the new one. The state before the last is removed with the files that only it used; readers of the last one still find theirs.
@@ -42,12 +43,13 @@ class PairTable:
         self.manifest: dict[str, dict[str, str]] = {name: {} for name in KEYS}
         self.totals: dict[str, int] = {}
         self.buckets = buckets or max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        self.pending: list[str] = []  # folders of the deltas since scores were stored
         self.number, self._scratch = 0, ""
         self._fs = self._at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         if numbers := self._manifests():
             self.number = numbers[-1]
             kept = self._load(self.number)
-            self.manifest, self.totals, self.buckets = kept["tables"], kept["totals"], kept["buckets"]
+            self.manifest, self.totals, self.buckets, self.pending = kept["tables"], kept["totals"], kept["buckets"], kept["pending"]
 
     def _at(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
@@ -90,12 +92,12 @@ class PairTable:
         """Take in a batch of (field_name, basket, version, items): later versions replace earlier ones, a null version is the earliest.
 
         Within the batch the greatest version of a basket counts, of equal ones that with the greatest items. Null and blank items are left out,
-        repeated ones count once; a basket may be empty. Gives the affected scores, as ``scores`` does; they can be read until the next update.
+        repeated ones count once; a basket may be empty. Gives the affected scores, as ``scores`` does; they can be read until scores are stored or the next batch comes.
         """
         early = F.coalesce("version", F.lit("1900-01-01").cast("timestamp"))
         clean = F.array_sort(F.array_distinct(F.filter(F.coalesce("items", F.array().cast("array<string>")), lambda x: x.isNotNull() & (F.trim(x) != ""))))
         batch = baskets.where("field_name is not null and basket is not null").select("field_name", "basket", F.struct(early.alias("version"), clean.alias("items")).alias("row"))
-        last, self._scratch = self._scratch, f"scratch/{uuid.uuid4().hex[:12]}"
+        self._scratch = f"scratch/{uuid.uuid4().hex[:12]}"
         batch = self._kept(batch.groupBy("field_name", "basket").agg(F.max("row").alias("row")).select("field_name", "basket", "row.*"), "batch")
         touched = self._touched("baskets", batch)
         if not touched:
@@ -113,47 +115,64 @@ class PairTable:
         two = one.select("field_name", "item_a", F.explode(F.slice("items", F.col("i") + 2, F.greatest(F.size("items") - F.col("i") - 1, F.lit(0)))).alias("item_b"), "n")
         pairs = self._kept(two.groupBy(*KEYS["pairs"]).agg(F.sum("n").alias("n")).where("n <> 0"), "pairs")
         items = self._kept(one.select("field_name", F.col("item_a").alias("item"), "n").groupBy(*KEYS["items"]).agg(F.sum("n").alias("n")).where("n <> 0"), "items")
-        first = not self.manifest["pairs"]
         self.manifest = self.manifest | {"baskets": self._write("baskets", whole, touched), "pairs": self._merge("pairs", pairs), "items": self._merge("items", items)}
         self.totals = {f: self.totals.get(f, 0) + fresh.get(f, 0) for f in self.totals | fresh}
-
-        # scores of the pairs whose count or item has changed; pairs that are no more go
+        self.pending = [*self.pending, self._scratch]
+        for name in ("batch", "changed"):
+            self._fs.delete(self._at(f"{self._scratch}/{name}"), True)
+        self._publish()
+        return self._scored(self._affected([self._scratch])[0])
+
+    def _affected(self, scratch: list[str]) -> tuple[DataFrame, DataFrame]:
+        """(field_name, item_a, item_b, k, n_a, n_b) of the pairs whose count or item is among the deltas of these folders, and the keys of pairs that may be no more."""
+        deltas = {name: self.spark.read.schema(SCHEMAS[name]).parquet(*[f"{self.path}/{folder}/{name}" for folder in scratch]).select(*KEYS[name]).distinct() for name in ("pairs", "items")}
         held = self.read("pairs").withColumnRenamed("n", "k")
-        if not first:
-            a, b = (items.select("field_name", F.col("item").alias(x), F.lit(True).alias(f"hit_{x}")) for x in ("item_a", "item_b"))
-            own = pairs.select(*KEYS["pairs"], F.lit(True).alias("hit"))
-            held = held.join(own, KEYS["pairs"], "left").join(a, ["field_name", "item_a"], "left").join(b, ["field_name", "item_b"], "left")
+        if self.manifest["scores"] or scratch != self.pending:  # else all are affected
+            a, b = (deltas["items"].select("field_name", F.col("item").alias(x), F.lit(True).alias(f"hit_{x}")) for x in ("item_a", "item_b"))
+            held = held.join(deltas["pairs"].withColumn("hit", F.lit(True)), KEYS["pairs"], "left").join(a, ["field_name", "item_a"], "left").join(b, ["field_name", "item_b"], "left")
             held = held.where("hit or hit_item_a or hit_item_b").select(*KEYS["pairs"], "k")
         single = self.read("items")
         for x in "ab":
             held = held.join(single.select("field_name", F.col("item").alias(f"item_{x}"), F.col("n").alias(f"n_{x}")), ["field_name", f"item_{x}"])
-        affected = self._kept(held.select(*KEYS["pairs"], "k", "n_a", "n_b"), "scores")
-        gone = pairs.select(*KEYS["pairs"]) if not first else pairs.select(*KEYS["pairs"]).where("false")
-        keys = affected.select(*KEYS["scores"]).unionByName(gone)
-        if rewritten := self._touched("scores", keys):
-            kept = self.read("scores", rewritten).join(keys.distinct(), KEYS["scores"], "left_anti")
-            self.manifest = self.manifest | {"scores": self._write("scores", kept.unionByName(affected), rewritten)}
-        self._publish(last)
-        return self._scored(affected)
-
-    def _publish(self, scratch: str) -> None:
+        return held.select(*KEYS["pairs"], "k", "n_a", "n_b"), deltas["pairs"]
+
+    def refresh(self) -> None:
+        """Store the scores that the batches since the last time have affected; only the buckets they fall in are rewritten."""
+        if not self.pending:
+            return
+        affected, gone = self._affected(self.pending)
+        if not self.manifest["scores"]:
+            self.manifest = self.manifest | {"scores": self._write("scores", affected, list(range(self.buckets)))}
+        else:
+            self._scratch = f"scratch/{uuid.uuid4().hex[:12]}"
+            affected = self._kept(affected, "scores")
+            keys = affected.select(*KEYS["scores"]).unionByName(gone).distinct()
+            if touched := self._touched("scores", keys):
+                kept = self.read("scores", touched).join(keys, KEYS["scores"], "left_anti")
+                self.manifest = self.manifest | {"scores": self._write("scores", kept.unionByName(affected), touched)}
+            self._fs.delete(self._at(self._scratch), True)
+        self.pending = []
+        self._publish()
+
+    def _publish(self) -> None:
         """Make the state the one that holds, and remove the files that only the one before the last used."""
         self.number += 1
         new, named = self._at(f"manifests/.{self.number}-{uuid.uuid4().hex[:12]}"), self._at(f"manifests/{self.number}")
         out = self._fs.create(new, True)
-        out.write(bytearray(json.dumps({"tables": self.manifest, "totals": self.totals, "buckets": self.buckets}).encode()))
+        out.write(bytearray(json.dumps({"tables": self.manifest, "totals": self.totals, "buckets": self.buckets, "pending": self.pending}).encode()))
         out.close()
         if not self._fs.rename(new, named):
             raise RuntimeError(f"manifest {self.number} of {self.path} is there already: another writer was first")
         for number in self._manifests()[:-2]:
-            used = {(name, b, v) for n in (self.number - 1, self.number) for name, of in self._load(n)["tables"].items() for b, v in of.items()}
-            for name, of in self._load(number)["tables"].items():
+            kept, old = [self._load(n) for n in (self.number - 1, self.number)], self._load(number)
+            used = {(name, b, v) for state in kept for name, of in state["tables"].items() for b, v in of.items()}
+            for name, of in old["tables"].items():
                 for b, version in of.items():
                     if (name, b, version) not in used:
                         self._fs.delete(self._at(f"{name}/{version}/bucket={b}"), True)
+            for folder in set(old["pending"]).difference(*[state["pending"] for state in kept]):
+                self._fs.delete(self._at(folder), True)
             self._fs.delete(self._at(f"manifests/{number}"), False)
-        if scratch:
-            self._fs.delete(self._at(scratch), True)
 
     def _kept(self, rows: DataFrame, name: str) -> DataFrame:
         path = f"{self.path}/{self._scratch}/{name}"
@@ -166,8 +185,18 @@ class PairTable:
         return scored.select("field_name", "item_a", "item_b", "k", "n_a", "n_b", "n_all", (F.col("k") / F.col("n_a") * F.col("n_all") / F.col("n_b")).alias("lift"))
 
     def scores(self, least: int = 1) -> DataFrame:
-        """(field_name, item_a, item_b, k, n_a, n_b, n_all, lift) of all pairs of at least ``least`` records, as they are stored."""
-        return self._scored(self.read("scores").where(F.col("k") >= least))
+        """(field_name, item_a, item_b, k, n_a, n_b, n_all, lift) of all pairs of at least ``least`` records: those stored, and those affected since as they are now."""
+        rows = self.read("scores")
+        if self.pending:
+            affected, gone = self._affected(self.pending)
+            if self.manifest["scores"]:
+                old = rows.join(gone, KEYS["scores"], "left_anti")
+                items = self.spark.read.schema(SCHEMAS["items"]).parquet(*[f"{self.path}/{folder}/items" for folder in self.pending]).select("field_name", "item").distinct()
+                for x in ("item_a", "item_b"):
+                    old = old.join(items.withColumnRenamed("item", x), ["field_name", x], "left_anti")
+                affected = old.unionByName(affected)
+            rows = affected
+        return self._scored(rows.where(F.col("k") >= least))
 
 
 def article_baskets(articles: DataFrame) -> DataFrame:
@@ -177,15 +206,16 @@ def article_baskets(articles: DataFrame) -> DataFrame:
 
 
 def article_pairs(articles: DataFrame) -> PairTable:
-    """The pair table of all articles, built as it would be day by day, in two batches: the rows loaded up to the middle of the loads, then the rest, which replaces reloaded articles."""
+    """The pair table of all articles, built as it would be load by load, in two batches: the rows of the first nine tenths of the loads, whose scores are stored, then the rest, which adds articles and replaces reloaded ones."""
     baskets = article_baskets(articles)
     state = PairTable(articles.sparkSession)
-    middle = articles.agg(F.percentile_approx("loaded_at", 0.5)).first()[0]
-    if middle is None:
+    late = articles.agg(F.percentile_approx("loaded_at", 0.9)).first()[0]
+    if late is None:
         state.update(baskets)
     else:
-        state.update(baskets.where(F.col("version").isNull() | (F.col("version") <= F.lit(middle))))
-        state.update(baskets.where(F.col("version") > F.lit(middle)))
+        state.update(baskets.where(F.col("version").isNull() | (F.col("version") <= F.lit(late))))
+        state.refresh()
+        state.update(baskets.where(F.col("version") > F.lit(late)))
     return state
 
 
