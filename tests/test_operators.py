@@ -256,3 +256,45 @@ def test_places_in_the_whole_order(spark):
     rows = spark.range(5000).withColumn("k", F.col("id") % 7)
     got = [(r["k"], r["id"], r["idx"]) for r in splits.with_index(rows, "k", "id").collect()]
     assert [i for _, _, i in sorted(got)] == list(range(5000))
+
+
+def test_bayes_of_all_categories_in_one_pass_is_sparks_own(spark):
+    rows = spark.createDataFrame([(i, ["x"] if i % 3 == 0 else ["y", "other"] if i % 3 == 1 else None, [9.0 * (i % 3 == 0), float(i % 5), 1.0]) for i in range(90)], "id int, iptc array<string>, numbers array<double>")
+    rows = models.features(rows, "numbers")
+    fit = models.naive_bayes()
+    together = models.each_category(rows, "iptc", ["x", "y", "none"], fit)
+    single = models.each_category(rows, "iptc", ["x", "y", "none"], lambda df: fit(df))
+    for c in single:
+        assert together[c].pi.toArray() == pytest.approx(single[c].pi.toArray()) and together[c].theta.toArray() == pytest.approx(single[c].theta.toArray())
+    said = [{r["id"]: r["pred"] for r in models.predicted(rows, m).collect()} for m in (together, single)]
+    assert said[0] == said[1] and any(said[0].values())
+    path = new_path(spark, "bayes")
+    sinks.save_models(together, path)
+    assert sinks.load_model(models.NaiveBayesModel, path, "x").theta.toArray() == pytest.approx(together["x"].theta.toArray())
+
+
+def test_margins_of_the_sparse_model_are_those_of_the_written_one(spark):
+    rows = [(f"d{i}", f"t{(i * j) % 11}", float(1 + (i + j) % 3)) for i in range(40) for j in range(1, 5)]
+    weighted = spark.createDataFrame(rows, "id string, term string, w double")
+    labels = spark.createDataFrame([(f"d{i}", c) for i in range(40) for c in (["a"] if i % 3 else ["b", "c"])], "id string, label string")
+    test = spark.createDataFrame([("n1", "t1", 2.0), ("n1", "t1", 1.0), ("n1", "unknown", 5.0), ("n2", "t3", 1.0), ("n3", "unknown", 1.0)], "id string, term string, w double")
+    cats = ["a", "b", "never"]
+    got = {(r["id"], r["category"]): r["margin"] for r in models.nb_margins(test, models.nb_fit(weighted, labels, cats)).collect()}
+    wanted = {(r["id"], r["category"]): r["margin"] for r in models.nb_predict(test, *models.nb_counts(weighted, labels, cats)).collect()}
+    assert got == pytest.approx(wanted) and set(got) == {(i, c) for i in ("n1", "n2") for c in cats}
+
+
+def test_weights_are_averaged_by_a_tree(spark, monkeypatch):
+    """However many sets of weights a node takes, the mean is that of all parts by their rows."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(rng.normal(size=3).tolist(), int(i % 2)) for i in range(240)], "features array<double>, label int")
+    data, workers = neural.spread(rows, 6)
+    assert workers == 6 and {r["part"]: r["count"] for r in data.groupBy("part").count().collect()} == dict.fromkeys(range(6), 40)
+    flat = neural._fit(data, 6, neural.FeedForward((3, 4, 2)), 2, 0.01, 10, 0.95)
+    monkeypatch.setattr(neural, "WIDTH", 2)
+    tree = neural._fit(data, 6, neural.FeedForward((3, 4, 2)), 2, 0.01, 10, 0.95)
+    for a, b in zip(flat.weights, tree.weights, strict=True):
+        assert a == pytest.approx(b)
+    assert neural.spread(rows)[1] == 1

@@ -280,8 +280,9 @@ def train_naive(spark, c):
     else:
         bags = weights(spark, c).select(F.col("article_id").alias("id"), "term", F.col("tf_idf").alias("w"))
     bags = bags.join(rows.select("id", "split_name"), "id")
-    prior, gain = models.nb_counts(bags.where("split_name = 'train'").drop("split_name"), held, names)
-    margins = models.nb_predict(bags.where("split_name = 'test'"), prior, gain)
+    bags = cut(bags, "bags")
+    model = models.nb_fit(bags.where("split_name = 'train'").drop("split_name"), held, names)
+    margins = models.nb_margins(bags.where("split_name = 'test'"), model)
     said = margins.groupBy("id").agg(F.array_compact(F.collect_list(F.when(F.col("margin") > 0, F.col("category")))).alias("pred"))
     return evaluated(said, rows.withColumn("iptc", F.transform("iptc", normalised)), names, c)
 
@@ -305,8 +306,8 @@ def train_naive_decay(spark, c):
     held, test = stats.labels_of(rows), rows.where("split_name = 'test'").withColumn("iptc", F.transform("iptc", normalised))
     out = None
     for part in (0.01, 0.1, 0.5, 1.0):
-        prior, gain = models.nb_counts(splits.bernoulli(bags.where("split_name = 'train'").drop("split_name"), part, "id", seed=c.seed), held, names)
-        said = models.nb_predict(bags.where("split_name = 'test'"), prior, gain).groupBy("id").agg(F.array_compact(F.collect_list(F.when(F.col("margin") > 0, F.col("category")))).alias("pred"))
+        model = models.nb_fit(splits.bernoulli(bags.where("split_name = 'train'").drop("split_name"), part, "id", seed=c.seed), held, names)
+        said = models.nb_margins(bags.where("split_name = 'test'"), model).groupBy("id").agg(F.array_compact(F.collect_list(F.when(F.col("margin") > 0, F.col("category")))).alias("pred"))
         got = metrics.micro_average(metrics.confusion(test.select("id", "iptc").join(said, "id"), "iptc", "pred", names)).withColumn("part", F.lit(part))
         out = got if out is None else out.unionByName(got)
     return out

@@ -2,18 +2,34 @@
 
 from __future__ import annotations
 
+import uuid
 from concurrent.futures import ThreadPoolExecutor
+from typing import NamedTuple
 
+import numpy as np
 from pyspark.ml import Model
-from pyspark.ml.classification import LinearSVC, MultilayerPerceptronClassifier, NaiveBayes
+from pyspark.ml.classification import LinearSVC, MultilayerPerceptronClassifier, NaiveBayes, NaiveBayesModel
+from pyspark.ml.common import _py2java
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, StandardScaler, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Matrices, Vectors
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def nb_counts(weighted: DataFrame, labels: DataFrame, categories: list[str], smoothing: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    """Multinomial naive Bayes for every category at once: (category, is, prior) and (category, is, term, weight), logarithms of smoothed shares.
+class Bayes(NamedTuple):
+    """Multinomial naive Bayes of all categories in sparse form: only terms that a category's documents hold have cells."""
+
+    categories: DataFrame  # category, base: log prior of is less that of isn't, prior_yes, prior_no
+    terms: DataFrame  # term, w_all: its sum over all documents
+    cells: DataFrame  # category, term, w_yes: its sum over the category's documents
+    sums: DataFrame  # category, log_yes, log_no: logarithms of the smoothed sums over all terms
+    smoothing: float
+
+
+def nb_fit(weighted: DataFrame, labels: DataFrame, categories: list[str], smoothing: float = 1.0) -> Bayes:
+    """Multinomial naive Bayes for every category at once.
 
     weighted: (id, term, w), w not negative; labels: (id, label). A document without terms takes no part. One pass of sums for all categories: those of
     the documents with the category are counted, those without it are the difference to all documents.
@@ -23,24 +39,51 @@ def nb_counts(weighted: DataFrame, labels: DataFrame, categories: list[str], smo
     rows = weighted.groupBy("id", "term").agg(F.sum("w").alias("w"))
     docs = rows.select("id").distinct()
     held = labels.select("id", F.col("label").alias("category")).distinct().join(F.broadcast(cats), "category", "left_semi")
-    n_docs, n_terms = docs.agg(F.count("*").alias("n_docs")), rows.agg(F.count_distinct("term").alias("n_terms"))
+    n_docs = docs.agg(F.count("*").alias("n_docs"))
     yes = held.join(docs, "id", "left_semi").groupBy("category").agg(F.count("*").alias("n_yes"))
     prior = cats.join(yes, "category", "left").join(F.broadcast(n_docs)).withColumn("n_yes", F.coalesce("n_yes", F.lit(0)))
-    prior = prior.select("category", F.explode(F.array(F.struct(F.lit(1).alias("is"), F.col("n_yes").alias("n")), F.struct(F.lit(0).alias("is"), (F.col("n_docs") - F.col("n_yes")).alias("n")))).alias("x"), "n_docs")
-    prior = prior.select("category", "x.is", (F.log(F.col("x.n") + smoothing) - F.log(F.col("n_docs") + 2 * smoothing)).alias("prior"))
+    log = lambda n: F.log(n + smoothing) - F.log(F.col("n_docs") + 2 * smoothing)
+    prior = prior.select("category", log(F.col("n_yes")).alias("prior_yes"), log(F.col("n_docs") - F.col("n_yes")).alias("prior_no"))
+    terms = rows.groupBy("term").agg(F.sum("w").alias("w_all"))
+    cells = rows.join(held, "id").groupBy("category", "term").agg(F.sum("w").alias("w_yes"))
+    whole = terms.agg(F.coalesce(F.sum("w_all"), F.lit(0.0)).alias("whole"), F.count("*").alias("n_terms"))
+    sums = cats.join(cells.groupBy("category").agg(F.sum("w_yes").alias("s")), "category", "left").join(F.broadcast(whole)).withColumn("s", F.coalesce("s", F.lit(0.0)))
+    size = smoothing * F.col("n_terms")
+    sums = sums.select("category", F.log(F.col("s") + size).alias("log_yes"), F.log(F.greatest(F.col("whole") - F.col("s"), F.lit(0.0)) + size).alias("log_no"))
+    return Bayes(prior.withColumn("base", F.col("prior_yes") - F.col("prior_no")), terms, cells, sums, smoothing)
+
 
-    total = rows.groupBy("term").agg(F.sum("w").alias("w_all"))
-    own = rows.join(held, "id").groupBy("category", "term").agg(F.sum("w").alias("w_yes"))
-    grid = total.withColumn("category", F.explode(F.array(*[F.lit(c) for c in categories])))
-    both = grid.join(own, ["category", "term"], "left").withColumn("w_yes", F.coalesce("w_yes", F.lit(0.0)))
-    long = both.select("category", "term", F.explode(F.array(F.struct(F.lit(1).alias("is"), F.col("w_yes").alias("w")), F.struct(F.lit(0).alias("is"), (F.col("w_all") - F.col("w_yes")).alias("w")))).alias("x")).select("category", "term", "x.*")
-    sums = long.groupBy("category", "is").agg(F.sum("w").alias("w_sum")).join(F.broadcast(n_terms))
-    weight = F.log(F.greatest(F.col("w"), F.lit(0.0)) + smoothing) - F.log(F.col("w_sum") + smoothing * F.col("n_terms"))
-    return prior, long.join(F.broadcast(sums), ["category", "is"]).select("category", "is", "term", weight.alias("weight"))
+def nb_counts(weighted: DataFrame, labels: DataFrame, categories: list[str], smoothing: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """The model of ``nb_fit`` written out: (category, is, prior) and (category, is, term, weight), a row for each category and term, seen together or not. To predict, use ``nb_margins``."""
+    model = nb_fit(weighted, labels, categories, smoothing)
+    both = lambda yes, no, name: F.explode(F.array(F.struct(F.lit(1).alias("is"), yes.alias(name)), F.struct(F.lit(0).alias("is"), no.alias(name)))).alias("x")
+    prior = model.categories.select("category", both(F.col("prior_yes"), F.col("prior_no"), "prior")).select("category", "x.*")
+    grid = model.terms.join(F.broadcast(model.sums)).join(model.cells, ["category", "term"], "left").withColumn("w_yes", F.coalesce("w_yes", F.lit(0.0)))
+    yes = F.log(F.col("w_yes") + smoothing) - F.col("log_yes")
+    no = F.log(F.greatest(F.col("w_all") - F.col("w_yes"), F.lit(0.0)) + smoothing) - F.col("log_no")
+    weights = grid.select("category", "term", both(yes, no, "weight")).select("category", "x.is", "term", "x.weight")
+    return prior, weights
+
+
+def nb_margins(weighted: DataFrame, model: Bayes) -> DataFrame:
+    """(id, category, margin) for each document with known terms: how much better is than isn't; the category is predicted if it is above 0. Terms unknown to the model don't count.
+
+    What a term says of a category that it wasn't seen with is the same for all of those but for a constant, so tokens meet only the categories they were seen with.
+    """
+    s = F.lit(model.smoothing)
+    known = weighted.groupBy("id", "term").agg(F.sum("w").alias("w")).join(model.terms, "term")
+    unseen = F.log(s) - F.log(F.col("w_all") + s)
+    common = known.groupBy("id").agg(F.sum(F.col("w") * unseen).alias("common"), F.sum("w").alias("total"))
+    per = F.broadcast(model.categories.join(model.sums, "category").select("category", "base", (F.col("log_no") - F.col("log_yes")).alias("constant")))  # a row for each category
+    every = common.join(per).select("id", "category", (F.col("common") + F.col("total") * F.col("constant") + F.col("base")).alias("margin"))
+    rest = F.greatest(F.col("w_all") - F.col("w_yes"), F.lit(0.0))
+    gain = F.log(F.col("w_yes") + s) - F.log(rest + s) - unseen
+    seen = known.join(model.cells, "term").select("id", "category", (F.col("w") * gain).alias("margin"))
+    return every.unionByName(seen).groupBy("id", "category").agg(F.sum("margin").alias("margin"))
 
 
 def nb_predict(weighted: DataFrame, prior: DataFrame, weights: DataFrame) -> DataFrame:
-    """(id, category, margin) for each document with known terms: how much better is than isn't; the category is predicted if it is above 0. Terms unknown to the model don't count."""
+    """The margins by a model that is written out, as ``nb_counts`` gives it and as it is stored."""
     gain = weights.groupBy("category", "term").agg(F.sum(F.when(F.col("is") == 1, F.col("weight")).otherwise(-F.col("weight"))).alias("gain"))
     base = prior.groupBy("category").agg(F.sum(F.when(F.col("is") == 1, F.col("prior")).otherwise(-F.col("prior"))).alias("base"))
     rows = weighted.groupBy("id", "term").agg(F.sum("w").alias("w")).join(gain, "term")
@@ -53,8 +96,10 @@ def features(rows: DataFrame, column: str) -> DataFrame:
 
 
 def each_category(rows: DataFrame, labels: str, categories: list[str], fit, parallelism: int = 1) -> dict[str, Model]:
-    """A model for each category, fitted on rows with label 1 if the category is among the labels. parallelism: models fitted at a time."""
+    """A model for each category, fitted on rows with label 1 if the category is among the labels. parallelism: models fitted at a time. A family that can fit all categories in one pass does."""
     held = F.coalesce(F.col(labels), F.array().cast("array<string>"))
+    if hasattr(fit, "all"):
+        return fit.all(rows.withColumn("_held", held), categories)
 
     def one(category: str) -> Model:
         return fit(rows.withColumn("label", F.array_contains(held, category).cast("double")))
@@ -72,9 +117,35 @@ def predicted(rows: DataFrame, models: dict[str, Model], key: str = "id") -> Dat
     return out.select(key, F.array_sort(F.array_compact(said)).alias("pred"))
 
 
-def naive_bayes(smoothing: float = 1.0):
-    """Fits a multinomial naive Bayes."""
-    return NaiveBayes(smoothing=smoothing, modelType="multinomial").fit
+class naive_bayes:  # noqa: N801 - a family, as the functions below
+    """Fits a multinomial naive Bayes: of one label, or of all categories by one sum over the rows."""
+
+    def __init__(self, smoothing: float = 1.0) -> None:
+        self.smoothing = smoothing
+
+    def __call__(self, rows: DataFrame) -> Model:
+        return NaiveBayes(smoothing=self.smoothing, modelType="multinomial").fit(rows)
+
+    def all(self, rows: DataFrame, categories: list[str]) -> dict[str, Model]:
+        """Models of rows (features, _held) by category. Sums of features by category and over all rows, as many vectors as categories; Spark's own model class holds them."""
+        marks = F.concat(F.array(F.lit(None).cast("string")), F.array_intersect("_held", F.array(*[F.lit(c) for c in categories])))
+        each = rows.select("features", F.explode(marks).alias("_c")).groupBy("_c").agg(F.count("*").alias("n"), Summarizer.sum(F.col("features")).alias("sum"))
+        got = {r["_c"]: (r["n"], r["sum"].toArray()) for r in each.collect()}
+        if None not in got:
+            raise ValueError("there are no rows to fit")
+        (n, whole), s = got[None], self.smoothing
+        jvm = rows.sparkSession._jvm
+        models = {}
+        for c in categories:
+            n_yes, yes = got.get(c, (0, np.zeros(len(whole))))
+            counts, sums = np.array([n - n_yes, n_yes], float), np.stack([whole - yes, yes])
+            present = counts > 0  # Spark's model has only the labels that rows have, up to the greatest
+            keep = 2 if present[1] else 1
+            pi = np.log(counts[:keep] + s) - np.log(n + keep * s)
+            theta = np.log(sums[:keep] + s) - np.log(sums[:keep].sum(1, keepdims=True) + s * len(whole))
+            made = jvm.org.apache.spark.ml.classification.NaiveBayesModel(f"nb-{uuid.uuid4().hex[:12]}", _py2java(rows.sparkSession.sparkContext, Vectors.dense(pi)), _py2java(rows.sparkSession.sparkContext, Matrices.dense(*theta.shape, theta.flatten("F").tolist())), _py2java(rows.sparkSession.sparkContext, Matrices.dense(0, 0, [])))
+            models[c] = NaiveBayesModel(made)
+        return models
 
 
 def feed_forward(size: int, hidden: tuple[int, ...] = (700, 500), seed: int = 123, rounds: int = 50):

@@ -1,8 +1,8 @@
 """Small neural nets in numpy, one for each label: feed-forward with tanh layers and a recurrent one with peephole gates.
 
 Training is synchronous and data-parallel: in each round every task starts from the broadcast weights, runs RMSProp over its own rows in mini-batches as they stream
-by, and gives its weights and its number of rows; the weighted mean starts the next round. No task holds more than a mini-batch of rows, and what
-the driver gets is ``WORKERS`` sets of weights, whose size the layers fix.
+by, and gives its weights and its number of rows; the weighted mean starts the next round. Rows are spread once, into tasks of about ``ROWS`` rows, as many as the collection needs. No task holds more than a
+mini-batch of rows; means are taken by a tree of ``WIDTH`` sets of weights a node, so what the driver gets is ``WIDTH`` sets, whose size the layers fix.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-#: Tasks that train at once at most.
-WORKERS = 32
+#: Rows of a task's part of the collection at most and, where there are tasks to spare, at least, about; sets of weights that one task or the driver takes the mean of, at most.
+ROWS, FEW, WIDTH = 20_000, 500, 32
 
 
 def _xavier(rng: np.random.Generator, n: int, m: int) -> np.ndarray:
@@ -153,17 +153,51 @@ def _arrays(frame: pd.DataFrame, net) -> tuple[np.ndarray, np.ndarray]:
     return x, length
 
 
-def fit(rows: DataFrame, net, rounds: int = 5, rate: float = 0.01, batch: int = 50, decay: float = 0.95, workers: int = WORKERS):
-    """The net trained on rows (features, label). features: an array of numbers, or for a recurrent net an array of them, padded with nulls. rate: the step of RMSProp."""
-    data = rows.select("features", "label").repartition(min(workers, max(1, rows.sparkSession.sparkContext.defaultParallelism)))
-    context = rows.sparkSession.sparkContext
+def _mean(sets: list[tuple[list[np.ndarray], int]]) -> tuple[list[np.ndarray], int]:
+    """The mean of sets of weights by their rows, one after the other, and the rows of all."""
+    total = sum(n for _, n in sets)
+    mean = [np.zeros_like(w) for w in sets[0][0]]
+    for own, n in sets:
+        for m, w in zip(mean, own, strict=True):
+            m += w * (n / total)
+    return mean, total
+
+
+def _averaged(frame: pd.DataFrame) -> pd.DataFrame:
+    """One row of the mean of the sets of weights of a node."""
+    mean, n = _mean([(pickle.loads(w), int(k)) for w, k in zip(frame["weights"], frame["n"], strict=True)])
+    return pd.DataFrame({"node": [int(frame["node"].iloc[0])], "weights": [pickle.dumps(mean)], "n": [n]})
+
+
+def spread(rows: DataFrame, workers: int | None = None) -> tuple[DataFrame, int]:
+    """Rows written once in parts, numbered, and how many; a part is one task's."""
+    from pyspark.sql import functions as F
+
+    from tidewire.storage import cut
+
+    if not workers:
+        n = rows.count()
+        workers = max(1, -(-n // ROWS), min(rows.sparkSession.sparkContext.defaultParallelism, n // FEW))
+    return cut(rows.repartition(workers).withColumn("part", F.spark_partition_id()), "spread"), workers
+
+
+def fit(rows: DataFrame, net, rounds: int = 5, rate: float = 0.01, batch: int = 50, decay: float = 0.95, workers: int | None = None):
+    """The net trained on rows (features, label). features: an array of numbers, or for a recurrent net an array of them, padded with nulls. rate: the step of RMSProp. workers: parts of the rows, in place of as many as they need."""
+    return _fit(*spread(rows.select("features", "label"), workers), net, rounds, rate, batch, decay)
+
+
+def _fit(data: DataFrame, workers: int, net, rounds: int, rate: float, batch: int, decay: float):
+    """``fit`` on rows (features, label) that are spread already."""
+    from pyspark.sql import functions as F
+
+    context = data.sparkSession.sparkContext
     for _ in range(rounds):
         shared = context.broadcast(net)
 
         def train(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             own = pickle.loads(pickle.dumps(shared.value))
             mean = [np.zeros_like(w) for w in own.weights]
-            seen = 0
+            seen, part_of = 0, 0
             for part in _batches(frames, batch):
                 x, length = _arrays(part, own)
                 for w, g, m in zip(own.weights, own.gradients(x, part["label"].to_numpy(int), length), mean, strict=True):
@@ -171,24 +205,28 @@ def fit(rows: DataFrame, net, rounds: int = 5, rate: float = 0.01, batch: int =
                     m += (1 - decay) * g * g
                     w -= rate * g / (np.sqrt(m) + 1e-8)
                 seen += len(part)
+                part_of = int(part["part"].iloc[0])
             if seen:
-                yield pd.DataFrame({"weights": [pickle.dumps(own.weights)], "n": [seen]})
+                yield pd.DataFrame({"node": [part_of], "weights": [pickle.dumps(own.weights)], "n": [seen]})
 
-        got = data.mapInPandas(train, "weights binary, n long").collect()  # one set of weights for each worker
+        sets, width = data.mapInPandas(train, "node int, weights binary, n long"), workers
+        while width > WIDTH:  # parts of several files may give several sets; they meet here
+            width = -(-width // WIDTH)
+            sets = sets.withColumn("node", F.pmod("node", F.lit(width)).cast("int")).groupBy("node").applyInPandas(_averaged, "node int, weights binary, n long")
+        got = sets.collect()  # one set for each part, WIDTH at most
         if not got:
             break
-        total = sum(r["n"] for r in got)
-        sets = [(pickle.loads(r["weights"]), r["n"] / total) for r in got]
-        net.weights = [sum(w[i] * part for w, part in sets) for i in range(len(net.weights))]
+        net.weights = _mean([(pickle.loads(r["weights"]), r["n"]) for r in got])[0]
     return net
 
 
-def fit_each(rows: DataFrame, labels: str, categories: list[str], make, **settings) -> dict:
-    """A net for each category, from ``make()``; rows have features and an array of labels."""
+def fit_each(rows: DataFrame, labels: str, categories: list[str], make, rounds: int = 5, rate: float = 0.01, batch: int = 50, decay: float = 0.95, workers: int | None = None) -> dict:
+    """A net for each category, from ``make()``; rows have features and an array of labels. The rows are spread once for all."""
     from pyspark.sql import functions as F
 
     held = F.coalesce(F.col(labels), F.array().cast("array<string>"))
-    return {c: fit(rows.select("features", F.array_contains(held, c).cast("int").alias("label")), make(), **settings) for c in categories}
+    data, workers = spread(rows.select("features", held.alias("_held")), workers)
+    return {c: _fit(data.select("features", "part", F.array_contains("_held", c).cast("int").alias("label")), workers, make(), rounds, rate, batch, decay) for c in categories}
 
 
 def predict(rows: DataFrame, nets: dict, key: str = "id") -> DataFrame:

@@ -48,10 +48,10 @@ def nb_params(spark, d):
 
 @query(f"with {_NB}, gain as (select category, term, sum(case when is_ then weight else -weight end) g from weight group by all), base as (select category, sum(case when is_ then prior else -prior end) b from prior group by 1), test as (select article_id id, term, mc from ann where article_id in (select id from art where split_name = 'test')) select id, category, round(sum(mc * g) + any_value(b), 5) margin, sum(mc * g) + any_value(b) > 0 predicted from test join gain using (term) join base using (category) group by all")
 def nb_predict(spark, d):
-    prior, weights = models.nb_counts(bags(spark, d), labels(spark, d), SOME)
+    model = models.nb_fit(cut(bags(spark, d), "bags"), labels(spark, d), SOME)
     test = arts(spark, d, "split_name").where("split_name = 'test'").select("id")
     rows = anns(spark, d).select(F.col("article_id").alias("id"), "term", F.col("mc").alias("w")).join(test, "id", "left_semi")
-    out = models.nb_predict(rows, prior, weights)
+    out = models.nb_margins(rows, model)
     return out.select("id", "category", F.round("margin", 5).alias("margin"), (F.col("margin") > 0).alias("predicted"))
 
 
@@ -75,10 +75,10 @@ def nb_params_all(spark, d):
 
 @query(_whole("nb_predict"))
 def nb_predict_all(spark, d):
-    prior, weights = models.nb_counts(bags(spark, d), labels(spark, d), CATEGORIES)
+    model = models.nb_fit(cut(bags(spark, d), "bags"), labels(spark, d), CATEGORIES)
     test = arts(spark, d, "split_name").where("split_name = 'test'").select("id")
     rows = anns(spark, d).select(F.col("article_id").alias("id"), "term", F.col("mc").alias("w")).join(test, "id", "left_semi")
-    out = models.nb_predict(rows, prior, weights)
+    out = models.nb_margins(rows, model)
     return out.select("id", "category", F.round("margin", 5).alias("margin"), (F.col("margin") > 0).alias("predicted"))
 
 
@@ -105,7 +105,7 @@ def nb_ml(spark, d):
 def feed_forward(spark, d):
     """A feed-forward net with tanh layers for each label."""
     rows = _documents(spark, d).withColumnRenamed("numbers", "features")
-    nets = neural.fit_each(rows.where("split_name = 'train'"), "iptc", CATEGORIES, lambda: neural.FeedForward((64, 700, 500, 2)), workers=4)
+    nets = neural.fit_each(rows.where("split_name = 'train'"), "iptc", CATEGORIES, lambda: neural.FeedForward((64, 700, 500, 2)))
     return _said(rows, neural.predict(rows.where("split_name = 'test'"), nets))
 
 
@@ -121,7 +121,7 @@ def feed_forward_ml(spark, d):
 def recurrent(spark, d):
     """A recurrent net over the sequence of an article's annotation vectors for each label."""
     rows = vectors.sequences(anns(spark, d), emb(spark, d)).select(F.col("article_id").alias("id"), F.col("steps").alias("features")).join(arts(spark, d, "iptc", "split_name"), "id")
-    nets = neural.fit_each(rows.where("split_name = 'train'"), "iptc", CATEGORIES, lambda: neural.Recurrent(64), workers=4)
+    nets = neural.fit_each(rows.where("split_name = 'train'"), "iptc", CATEGORIES, lambda: neural.Recurrent(64))
     return _said(rows, neural.predict(rows.where("split_name = 'test'"), nets))
 
 
