@@ -10,7 +10,7 @@ from tidewire.sources.sinks import file_name
 
 @dataclass
 class Config:
-    """Settings with their defaults; a count of -1 is all."""
+    """Settings with their defaults; a count of -1 is all, a threshold of -1 or a rate of 0 is the experiment's own."""
 
     job: str = "test"
     data: str = "data"
@@ -26,10 +26,12 @@ class Config:
     broad_match: bool = True
     super_sample: bool = False
     features: str = "bow"
-    threshold: int = 10
+    threshold: int = -1
     size: int = 64
     hidden: int = 10
-    rate: float = 0.01
+    layers: str = "700,500"
+    bow_layers: str = "1000"
+    rate: float = 0.0
     batch: int = 50
     rounds: int = 2
     parallelism: int = 1

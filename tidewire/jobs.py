@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewire import experiments
 from tidewire.config import Config
-from tidewire.operators import enrich, metrics, models, neural, projection, splits, stats, taxonomy, terms, vectors
+from tidewire.operators import enrich, metrics, projection, splits, stats, taxonomy, terms, vectors
 from tidewire.sources import codec, formats, nitf, sinks
 from tidewire.sources.tables import latest, normalised, table
 from tidewire.storage import cut
@@ -65,7 +66,7 @@ def print_articles(spark, c):
     return stats.annotation_sizes(articles(spark, c), annotations(spark, c)).orderBy("id").limit(c.limit or 20)
 
 
-@job("cacheRaw")
+@job("cacheRaw", "cacheNYT")
 def cache_raw(spark, c):
     """News markup below the data folder as JSON lines."""
     return codec.to_json(nitf.to_articles(nitf.read(spark, c.data, count=c.limit)))
@@ -78,7 +79,7 @@ def cache_minimal(spark, c):
     return kept.withColumns({"body": F.lit(""), "hl": F.lit("")})
 
 
-@job("cacheMiniCorpus")
+@job("cacheMini")
 def cache_mini(spark, c):
     return splits.newest(articles(spark, c), c.limit or 100_000)
 
@@ -148,8 +149,8 @@ def split_time(spark, c):
     return splits.relative_buckets(articles(spark, c), c.buckets, "id", "id", seed=c.seed)
 
 
-@job("cacheAndSplitCorpus")
-def split_corpus(spark, c):
+@job("cacheAndSplitAll")
+def split_stored(spark, c):
     """The articles that have annotations, with their stored split."""
     return articles(spark, c).join(annotations(spark, c).select(F.col("article_id").alias("id")), "id", "left_semi")
 
@@ -187,15 +188,15 @@ def all_stats(spark, c):
     return stats.general(articles(spark, c, "iptc"), annotations(spark, c))
 
 
-@job("misc", "testLengths")
+@job("storedLengths")
 def lengths(spark, c):
-    """Quality by length: each bucket of articles ordered by their number of words."""
+    """Quality of the stored predictions by length: each bucket of articles ordered by their number of words."""
     return metrics.by_bucket(split_length(spark, c), "bucket", "iptc", "pred", F.col("wc")).orderBy("bucket")
 
 
 @job("tnesDocumentVectors")
 def document_plane(spark, c):
-    held = document_features(spark, c, "w2v").withColumn("label", F.get("iptc", F.lit(0)))
+    held = document_features(spark, c, "ffn_w2v").withColumn("label", F.get("iptc", F.lit(0)))
     held = held.orderBy("id").limit(c.limit) if c.limit else held
     return projection.whole_map(held, "id", "features", "label", "id", rounds=200)
 
@@ -212,119 +213,98 @@ def word_plane(spark, c):
 # --- training and evaluation -----------------------------------------------------------------------------------------------------------------------
 
 
-def weights(spark: SparkSession, c: Config) -> DataFrame:
-    """TF-IDF of the annotations, fitted on the train split."""
-    rows = annotations(spark, c)
-    train = rows.join(articles(spark, c, "split_name").where("split_name = 'train'").select(F.col("id").alias("article_id")), "article_id", "left_semi")
-    return terms.tfidf(rows.drop("tf_idf"), *terms.fit_tfidf(train, "article_id", "term", c.threshold), "article_id", "term", all_terms=False)
-
-
 def document_features(spark: SparkSession, c: Config, kind: str) -> DataFrame:
-    """(id, iptc, split_name, features) by kind: w2v, the document vector; norm, the same without negative values; sequence, the vectors of the first 100 annotations."""
-    if kind == "sequence":
-        held = vectors.sequences(annotations(spark, c), embeddings(spark, c)).withColumnRenamed("steps", "features")
-    else:
-        held = vectors.document_vectors(weights(spark, c), embeddings(spark, c), kind == "norm").withColumnRenamed("vector", "features")
-    labels = articles(spark, c, "iptc", "split_name").withColumn("iptc", F.transform("iptc", normalised))
-    return cut(held.withColumnRenamed("article_id", "id").join(labels, "id"), "features")
+    """(id, iptc, features) of all articles, weights fitted on the train part."""
+    sets = experiments.catalogue(spark, c)
+    vocabulary, documents = experiments.vocabulary_of(sets.by("train_ordered"), max(c.threshold, 0))
+    return cut(experiments.features(kind, sets.annotated(), vocabulary, documents, sets.embeddings()), "features")
 
 
-def evaluated(said: DataFrame, rows: DataFrame, names: list[str], c: Config) -> DataFrame:
-    """Measures of each label, of a prediction of the test split."""
-    joined = rows.select("id", "iptc").join(said, "id")
-    return metrics.per_label(metrics.confusion(joined, "iptc", "pred", names)).withColumn("run", F.lit(c.run_name))
+def _experiment(name: str) -> None:
+    def run_it(spark, c):
+        return experiments.run_experiment(spark, c, experiments.EXPERIMENTS[name], categories(spark, c))
 
+    JOBS[name] = run_it
 
-def train_net(spark: SparkSession, c: Config, make, kind: str) -> DataFrame:
-    rows, names = document_features(spark, c, kind), categories(spark, c)
-    train, test = rows.where("split_name = 'train'"), rows.where("split_name = 'test'")
-    if c.super_sample and c.category:
-        train = splits.supersampled(train, "id", F.array_contains("iptc", c.category))
-    nets = neural.fit_each(train, "iptc", names, make, rounds=c.rounds, rate=c.rate, batch=c.batch)
-    return evaluated(neural.predict(test, nets), test, names, c)
 
+def _test(name: str) -> None:
+    def run_it(spark, c):
+        return experiments.run_test(spark, c, *experiments.TESTS[name], categories(spark, c))
 
-@job("trainFFNW2V", "trainBaseline", "trainSuper", "trainTypes", "trainTime", "trainConfidence", "trainFFNBoW")
-def train_feed_forward(spark, c):
-    """A feed-forward net for each label; super_sample and category make the experiments differ."""
-    return train_net(spark, c, lambda: neural.FeedForward((c.size, 70, 50, 2), c.seed), "w2v")
+    JOBS[name] = run_it
 
 
-@job("trainRNNW2V")
-def train_recurrent(spark, c):
-    return train_net(spark, c, lambda: neural.Recurrent(c.size, c.hidden, c.seed), "sequence")
+for _name in experiments.EXPERIMENTS:
+    _experiment(_name)
+for _name in experiments.TESTS:
+    _test(_name)
 
 
-@job("trainFFNW2VInc", "trainFFNW2VInc2")
+@job("trainFFNW2VInc")
 def train_incremental(spark, c):
-    """The same for train sets of growing size."""
-    rows, names = document_features(spark, c, "w2v"), categories(spark, c)
-    out = None
-    for size in (100, 1000, c.limit or 10_000):
-        train = rows.where("split_name = 'train'").orderBy(splits.luck("id", seed=c.seed)).limit(size)
-        nets = neural.fit_each(train, "iptc", names, lambda: neural.FeedForward((c.size, 70, 50, 2), c.seed), rounds=c.rounds)
-        test = rows.where("split_name = 'test'")
-        part = metrics.micro_average(metrics.confusion(test.select("id", "iptc").join(neural.predict(test, nets), "id"), "iptc", "pred", names)).withColumn("size", F.lit(size))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Feed-forward nets on train sets of 5,000 to 195,000 articles."""
+    return experiments.run_sizes(spark, c, "ffn_w2v", experiments.SIZES, categories(spark, c))
 
 
-@job("trainNaiveBoW", "trainNaiveTraditional", "testNaive")
-def train_naive(spark, c):
-    """Naive Bayes on bags of annotations, or with features=text on the stemmed words of the bodies."""
-    names = categories(spark, c)
-    rows = articles(spark, c, "iptc", "body", "split_name")
-    held = stats.labels_of(rows)
-    if c.features == "text":
-        bags = terms.text_terms(rows, "id", "body", stem=True).select(F.col("doc").alias("id"), "term", F.col("mc").cast("double").alias("w"))
-    else:
-        bags = weights(spark, c).select(F.col("article_id").alias("id"), "term", F.col("tf_idf").alias("w"))
-    bags = bags.join(rows.select("id", "split_name"), "id")
-    bags = cut(bags, "bags")
-    model = models.nb_fit(bags.where("split_name = 'train'").drop("split_name"), held, names)
-    margins = models.nb_margins(bags.where("split_name = 'test'"), model)
-    said = margins.groupBy("id").agg(F.array_compact(F.collect_list(F.when(F.col("margin") > 0, F.col("category")))).alias("pred"))
-    return evaluated(said, rows.withColumn("iptc", F.transform("iptc", normalised)), names, c)
-
-
-@job("trainNaiveW2V")
-def train_naive_vectors(spark, c):
-    names = categories(spark, c)
-    rows = models.features(document_features(spark, c, "norm").withColumnRenamed("features", "numbers"), "numbers")
-    fitted = models.each_category(rows.where("split_name = 'train'"), "iptc", names, models.naive_bayes(), c.parallelism)
-    if c.out:
-        sinks.save_models(fitted, c.path("models", c.run_name))
-    test = rows.where("split_name = 'test'")
-    return evaluated(models.predicted(test, fitted), test, names, c)
+@job("trainFFNW2VInc2")
+def train_incremental_wide(spark, c):
+    """The same for sizes from 100 to 500,000, wider and wider apart."""
+    return experiments.run_sizes(spark, c, "ffn_w2v", experiments.SIZES2, categories(spark, c))
 
 
 @job("trainNaiveBoWInc")
-def train_naive_decay(spark, c):
-    """Naive Bayes on samples of the train split from a hundredth to all."""
-    names, rows = categories(spark, c), articles(spark, c, "iptc", "split_name")
-    bags = cut(weights(spark, c).select(F.col("article_id").alias("id"), "term", F.col("tf_idf").alias("w")).join(rows.select("id", "split_name"), "id"), "bags")
-    held, test = stats.labels_of(rows), rows.where("split_name = 'test'").withColumn("iptc", F.transform("iptc", normalised))
+def train_naive_incremental(spark, c):
+    """Naive Bayes on document vectors for sizes from 100 to 500,000."""
+    return experiments.run_sizes(spark, c, "nb_w2v", experiments.SIZES2, categories(spark, c))
+
+
+@job("testConfidence")
+def test_confidence(spark, c):
+    """Feed-forward nets of each confidence that has been trained, on the annotations of that confidence."""
     out = None
-    for part in (0.01, 0.1, 0.5, 1.0):
-        model = models.nb_fit(splits.bernoulli(bags.where("split_name = 'train'").drop("split_name"), part, "id", seed=c.seed), held, names)
-        said = models.nb_margins(bags.where("split_name = 'test'"), model).groupBy("id").agg(F.array_compact(F.collect_list(F.when(F.col("margin") > 0, F.col("category")))).alias("pred"))
-        got = metrics.micro_average(metrics.confusion(test.select("id", "iptc").join(said, "id"), "iptc", "pred", names)).withColumn("part", F.lit(part))
-        out = got if out is None else out.unionByName(got)
+    for level in (25, 50, 75, 100):
+        try:
+            sets = experiments.catalogue(spark, c)
+            fitted = experiments.load(spark, "ffn_w2v", experiments.model_path(c, f"confidence-{level}", "ffn_w2v"))
+        except FileNotFoundError:
+            continue
+        test = sets.split(sets.mini(level / 100), "test")
+        made = experiments.evaluate(fitted, test, categories(spark, c), sets.embeddings(), f"confidence-{level}")
+        out = made if out is None else out.unionByName(made)
+    if out is None:
+        raise FileNotFoundError("no models of any confidence; trainConfidence with the same out keeps them there")
     return out
 
 
-@job("test", "testModels", "testPretrained", "testW2VvsBoW", "testConfidence")
-def evaluate(spark, c):
-    """Measures of the stored predictions by label."""
+@job("testLengths", "misc")
+def test_lengths(spark, c):
+    """Recurrent nets of the baseline by bucket of articles ordered by their number of words."""
+    return experiments.run_buckets(spark, c, "baseline", split_length(spark, c), F.col("wc")).orderBy("bucket")
+
+
+@job("testTimeDecay", "test")
+def test_time_decay(spark, c):
+    """Recurrent nets trained on the time before, by the buckets of time that follow."""
+    rows = split_time(spark, c).where("part = 'test'").drop("part")
+    return experiments.run_buckets(spark, c, "time", rows, F.try_to_number("id", F.lit("999999999999999999")).cast("long")).orderBy("bucket")
+
+
+@job("reportStored")
+def report_stored(spark, c):
+    """Report lines of the predictions that the articles hold, by label."""
     rows = articles(spark, c, "iptc", "pred").withColumns({x: F.array_compact(F.transform(x, normalised)) for x in ("iptc", "pred")})
     return metrics.report_lines(metrics.per_label(metrics.confusion(rows, "iptc", "pred", categories(spark, c)))).orderBy("label")
 
 
-@job("testTimeDecay")
-def evaluate_by_time(spark, c):
-    """Measures of the stored predictions by bucket of time, which is the order of ids."""
-    rows = splits.static_buckets(articles(spark, c, "iptc", "pred", "wc"), c.buckets, "id")
-    return metrics.by_bucket(rows, "bucket", "iptc", "pred", F.col("id")).orderBy("bucket")
+@job("logResults")
+def log_results(spark, c):
+    """Predicted labels with whether they are right, in a folder for each outcome and label if ``out`` is set."""
+    rows = articles(spark, c, "iptc", "pred").withColumns({x: F.array_compact(F.transform(x, normalised)) for x in ("iptc", "pred")})
+    made = rows.select("id", "iptc", F.explode(F.array_distinct("pred")).alias("label"))
+    made = made.select("id", "label", F.when(F.array_contains(F.coalesce("iptc", F.array().cast("array<string>")), F.col("label")), "tp").otherwise("fp").alias("outcome"))
+    if c.out:
+        sinks.save_outcomes(made, c.path("outcomes", c.run_name))
+    return made
 
 
 def run(spark: SparkSession, c: Config) -> DataFrame:

@@ -142,6 +142,11 @@ def _batches(frames: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame
 
 def _arrays(frame: pd.DataFrame, net) -> tuple[np.ndarray, np.ndarray]:
     """Features of a mini-batch, and the real length of each sequence."""
+    if isinstance(net, FeedForward) and len(frame) and not isinstance(frame["features"].iloc[0], (list, np.ndarray)):  # places and weights of a bag
+        x = np.zeros((len(frame), net.layers[0]))
+        for i, bag in enumerate(frame["features"]):
+            x[i, np.asarray(bag["indices"], int)] = np.asarray(bag["weights"], float)
+        return x, np.ones(len(frame), int)
     if isinstance(net, FeedForward):
         return np.stack([np.asarray(v, float) for v in frame["features"]]), np.ones(len(frame), int)
     real = [[s for s in steps if s is not None] for steps in frame["features"]]
@@ -182,7 +187,7 @@ def spread(rows: DataFrame, workers: int | None = None) -> tuple[DataFrame, int]
 
 
 def fit(rows: DataFrame, net, rounds: int = 5, rate: float = 0.01, batch: int = 50, decay: float = 0.95, workers: int | None = None):
-    """The net trained on rows (features, label). features: an array of numbers, or for a recurrent net an array of them, padded with nulls. rate: the step of RMSProp. workers: parts of the rows, in place of as many as they need."""
+    """The net trained on rows (features, label). features: an array of numbers, (indices, weights) of a bag, or for a recurrent net an array of arrays, padded with nulls. rate: the step of RMSProp. workers: parts of the rows, in place of as many as they need."""
     return _fit(*spread(rows.select("features", "label"), workers), net, rounds, rate, batch, decay)
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.sources import codec
-from tidewire.sources.tables import table
 
 
 def limited(rows: DataFrame, count: int | None, fraction: float = 1.0, *order: str) -> DataFrame:
@@ -114,30 +113,3 @@ def latin_lines(spark: SparkSession, path: str) -> DataFrame:
 def random_normals(spark: SparkSession, n: int, partitions: int = 10, seed: int = 123) -> DataFrame:
     """(id, x): n normal numbers."""
     return spark.range(0, n, 1, partitions).select("id", F.randn(seed).alias("x"))
-
-
-class Catalogue:
-    """Named datasets of a folder: tables, and articles by split. A dataset is made when it is asked for."""
-
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder
-
-    def by(self, name: str, fraction: float = 1.0) -> DataFrame:
-        """A table by its name; part of it by hash with a fraction below 1."""
-        from tidewire.operators.splits import bernoulli
-
-        rows = table(self.spark, self.folder, name)
-        return rows if fraction >= 1 else bernoulli(rows, fraction, rows.columns[0])
-
-    def split(self, name: str) -> DataFrame:
-        """The articles of a split."""
-        return self.by("articles").where(F.col("split_name") == name)
-
-    def pair(self, train: str = "train", other: str = "validation") -> tuple[DataFrame, DataFrame]:
-        """Two splits."""
-        return self.split(train), self.split(other)
-
-    def views(self, *names: str) -> None:
-        """Register tables as views for SQL."""
-        for name in names:
-            self.by(name).createOrReplaceTempView(name)

@@ -106,7 +106,7 @@ def parsed(texts: DataFrame, column: str = "value", source: str | None = None) -
 
 def read(spark: SparkSession, path: str, pattern: str = "*.xml", count: int | None = None) -> DataFrame:
     """Documents of all files below a folder whose names match; count: the first so many by path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path).select("path", F.decode("content", F.lit("UTF-8")).alias("value"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path).select("path", F.decode("content", "UTF-8").alias("value"))
     return parsed(files.orderBy("path").limit(count) if count is not None else files, "value", "path")
 
 

@@ -68,3 +68,18 @@ def save_models(models: dict, path: str) -> None:
 def load_model(kind, path: str, label: str):
     """The model of a label."""
     return kind.load(f"{path}/{file_name(label)}")
+
+
+def save_nets(spark, nets: dict, path: str) -> None:
+    """Write nets as rows of their label, kind, settings and weights."""
+    import pickle
+
+    save_table(spark.createDataFrame([(label, bytearray(pickle.dumps(net))) for label, net in sorted(nets.items())], "label string, net binary"), path)
+
+
+def load_nets(spark, path: str, labels: list[str] | None = None) -> dict:
+    """Nets by label, all or those asked for."""
+    import pickle
+
+    rows = spark.read.parquet(path)
+    return {r["label"]: pickle.loads(bytes(r["net"])) for r in (rows.where(F.col("label").isin(labels)) if labels is not None else rows).collect()}
