@@ -13,7 +13,7 @@ FOLDER = "/root/testdata/sf0.001"
 #: Rows of the jobs over the smallest tables, or the name of another job or dataset that has as many.
 ARTICLES, ANNOTATIONS = 63, 521
 COUNTS = {
-    "testSpark": 1, "printArticles": 20, "cacheMinimal": "annotated_minimal", "cacheMini": "labelled", "cacheAnnotated": "annotated", "computeDbAnnotationsConfidence": "annotated", "cacheAnnotatedWithTypes": "annotated_types",
+    "testSpark": 1, "printArticles": 20, "printEntities": 40, "cacheMinimal": "annotated_minimal", "cacheMini": "labelled", "cacheAnnotated": "annotated", "computeDbAnnotationsConfidence": "annotated", "cacheAnnotatedWithTypes": "annotated_types",
     "splitAndCache": ARTICLES, "cache": ARTICLES, "cacheAndSplitAll": "annotated", "stats": 1, "iptcDistribution": None, "storedLengths": 3, "reportStored": 1, "cacheW2V": "fbw2vIds", "cacheWordVectors": "fbw2vIds",
     "combineIds": None, "computeDbAnnotations": None, "fbw2vIds": None, "cacheAndSplitLength": None, "cacheAndSplitTime": None, "cacheSuperBalanced": None, "cacheSuperSampled": None, "cacheSubSampled": None, "tnesDocumentVectors": None, "tnesWordVectors": None, "logResults": None,
 }

@@ -66,6 +66,16 @@ def print_articles(spark, c):
     return stats.annotation_sizes(articles(spark, c), annotations(spark, c)).orderBy("id").limit(c.limit or 20)
 
 
+@job("printEntities")
+def print_entities(spark, c):
+    """Ten annotations of each confidence, by article and term."""
+    out = None
+    for level in (0.25, 0.5, 0.75, 1.0):
+        rows = experiments.catalogue(spark, c).annotations(confidence=level).orderBy("article_id", "term").limit(10).withColumn("confidence", F.lit(level))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @job("cacheRaw", "cacheNYT")
 def cache_raw(spark, c):
     """News markup below the data folder as JSON lines."""

@@ -95,3 +95,16 @@ def with_vector(articles: DataFrame, annotations: DataFrame, vectors: DataFrame)
     """Labelled articles that keep an annotation with a Freebase id and a stored vector. vectors: (term)."""
     kept = annotations.where(present("fb").isNotNull()).join(vectors.select("term").distinct(), "term", "left_semi")
     return articles.where(F.size("iptc") > 0).join(kept.select(F.col("article_id").alias("id")), "id", "left_semi")
+
+
+def annotations_of_entities(rows: DataFrame, doc: str, entity: str) -> DataFrame:
+    """(article_id, term, mc, ann_offset, phrase) of the present entities of each document, once each: mc is 1, the place unknown."""
+    held = rows.select(F.col(doc).alias("article_id"), present(entity).alias("term")).where("article_id is not null and term is not null").distinct()
+    return held.select("article_id", "term", F.lit(1).alias("mc"), F.lit(-1).alias("ann_offset"), F.col("term").alias("phrase"))
+
+
+def annotations_of_names(rows: DataFrame, doc: str, name: str) -> DataFrame:
+    """(article_id, term, mc, ann_offset, phrase) of the names of each document whatever their case: the term is ``name:`` and the name, mc their number, the place unknown."""
+    held = rows.select(F.col(doc).alias("article_id"), F.col(name).alias("phrase")).where("article_id is not null and trim(phrase) <> ''")
+    grouped = held.groupBy("article_id", F.concat(F.lit("name:"), F.lower("phrase")).alias("term")).agg(F.count("*").cast("int").alias("mc"), F.min("phrase").alias("phrase"))
+    return grouped.select("article_id", "term", "mc", F.lit(-1).alias("ann_offset"), "phrase")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewire.plans import base, formats, joins, learning, sets, statistics, texts, vectors  # noqa: F401 - they register their queries
+from tidewire.plans import base, formats, joins, learning, sets, statistics, stored, texts, vectors  # noqa: F401 - they register their queries
 
 QUERIES = base.QUERIES
 ORACLES = base.ORACLES
