@@ -1,9 +1,11 @@
 """Jobs, settings and the text service run on the smallest tables."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
-from tidewire import experiments, jobs
+from tidewire import experiments, jobs, storage
 from tidewire.api import TextService, answer
 from tidewire.config import Config
 from tidewire.sources.catalogue import Catalogue
@@ -82,8 +84,21 @@ def test_jobs_of_files(spark, tmp_path):
 
 
 def test_written_job(spark):
-    c = Config.of(["job=stats", f"data={FOLDER}", f"out={new_path(spark, 'jobs')}"])
-    assert jobs.run(spark, c).count() == 1
+    """The result is kept, what was written on the way isn't."""
+    c = Config.of(["job=splitAndCache", f"data={FOLDER}", f"out={new_path(spark, 'jobs')}"])
+    before = set(storage._made)
+    assert jobs.run(spark, c).count() == ARTICLES and set(storage._made) == before
+
+
+def test_sweep_leaves_what_is_in_use(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(storage, "shared_dir", lambda spark: f"file://{tmp_path}")
+    for name in ("tidewire-old", "tidewire-new", "other-old", f"tidewire-{spark.sparkContext.applicationId}"):
+        (tmp_path / name / "x").mkdir(parents=True)
+    for name in ("tidewire-old", "other-old", f"tidewire-{spark.sparkContext.applicationId}"):
+        for part in (tmp_path / name / "x", tmp_path / name):
+            os.utime(part, (1_000_000, 1_000_000))
+    assert storage.sweep(spark, 24) == ["tidewire-old"]
+    assert {p.name for p in tmp_path.iterdir()} == {"tidewire-new", "other-old", f"tidewire-{spark.sparkContext.applicationId}"}
 
 
 def test_settings():

@@ -16,7 +16,7 @@ from tidewire.config import Config
 from tidewire.operators import enrich, metrics, projection, splits, stats, taxonomy, terms, vectors
 from tidewire.sources import codec, formats, nitf, sinks
 from tidewire.sources.tables import latest, normalised, table
-from tidewire.storage import cut
+from tidewire.storage import cut, scope
 
 JOBS: dict[str, Callable[[SparkSession, Config], DataFrame]] = {}
 
@@ -321,11 +321,11 @@ def run(spark: SparkSession, c: Config) -> DataFrame:
     """The result of a job, written below ``out`` if that is set."""
     if c.job not in JOBS:
         raise SystemExit(f"no job {c.job}; there are {', '.join(sorted(JOBS))}")
-    made = JOBS[c.job](spark, c)
-    if c.out:
-        sinks.save_table(made, c.path(c.run_name))
-        return spark.read.parquet(c.path(c.run_name))
-    return made
+    if not c.out:
+        return JOBS[c.job](spark, c)
+    with scope():
+        sinks.save_table(JOBS[c.job](spark, c), c.path(c.run_name))
+    return spark.read.parquet(c.path(c.run_name))
 
 
 def main(args: list[str]) -> int:

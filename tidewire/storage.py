@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,6 +53,35 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextmanager
+def scope() -> Iterator[None]:
+    """Remove the paths that are made within when it ends. What was computed from them must be written or collected by then; use it around a whole job in drivers that live long."""
+    before = set(_made)
+    try:
+        yield
+    finally:
+        for path in [p for p in _made if p not in before]:
+            delete(_made.pop(path), path)
+
+
+def sweep(spark: SparkSession, hours: float) -> list[str]:
+    """Remove what applications that were killed left in the shared folder: folders of other applications in which nothing has been written for so many hours. Gives their names."""
+    jvm, base, gone = spark.sparkContext._jvm, shared_dir(spark), []
+    where = jvm.org.apache.hadoop.fs.Path(base)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(where):
+        return gone
+    late = time.time() * 1000 - hours * 3_600_000
+    for status in files.listStatus(where):
+        name = status.getPath().getName()
+        if name.startswith("tidewire-") and name != f"tidewire-{spark.sparkContext.applicationId}":
+            inside = [s.getModificationTime() for s in files.listStatus(status.getPath())] if status.isDirectory() else []
+            if max([status.getModificationTime(), *inside]) <= late:
+                files.delete(status.getPath(), True)
+                gone.append(name)
+    return gone
+
+
 def _tidy() -> None:
     import shutil
 
