@@ -36,7 +36,7 @@ def test_nets_and_bayes_are_trained_for_all_categories(spark, monkeypatch):
     for name in ("feed_forward", "recurrent", "nb_ml", "feed_forward_ml"):
         QUERIES[name](spark, "/root/testdata/sf0.001")
     assert seen == [(CATEGORIES, (64, 700, 500, 2), None), (CATEGORIES, None, None), (CATEGORIES, None, None), (CATEGORIES, None, None)]
-    assert {r["category"] for r in QUERIES["nb_priors_all"](spark, "/root/testdata/sf0.001").collect()} == set(CATEGORIES)
+    assert {r["category"] for r in QUERIES["nb_priors"](spark, "/root/testdata/sf0.001").collect()} == set(CATEGORIES)
 
 
 def test_sequences_hold_more_than_twenty(spark, monkeypatch):
@@ -47,7 +47,7 @@ def test_sequences_hold_more_than_twenty(spark, monkeypatch):
     monkeypatch.setattr(neural, "predict", lambda rows, nets: rows.selectExpr("id", "array('') pred"))
     QUERIES["recurrent"](spark, "/root/testdata/sf0.001")
     assert [r["n"] for r in seen[0]] == [100]
-    assert {r["length"] for r in QUERIES["sequence_cut100"](spark, "/root/testdata/sf0.001").collect()} == {100}
+    assert {r["length"] for r in QUERIES["sequence_cut"](spark, "/root/testdata/sf0.001").collect()} == {100}
 
 
 def test_newest_and_sweeps_see_the_whole_table(spark):
@@ -56,7 +56,7 @@ def test_newest_and_sweeps_see_the_whole_table(spark):
     from tidewire.plans.base import arts
 
     everything = arts(spark, FOLDER, "split_name").count()
-    sizes = {r["prefix"]: r["n"] for r in QUERIES["prefix_sweep_whole"](spark, FOLDER).groupBy("prefix").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["prefix"]: r["n"] for r in QUERIES["prefix_sweep"](spark, FOLDER).groupBy("prefix").agg(F.count("*").alias("n")).collect()}
     assert sizes[100] == 100 and sizes[500_000] == everything > 400 and {5000, 195_000} <= set(sizes)
-    assert {100, 500_000} <= {r["prefix"] for r in QUERIES["learning_curve_whole"](spark, FOLDER).select("prefix").collect()}
-    assert QUERIES["topk_newest"](spark, FOLDER).count() > 100
+    assert {100, 500_000} <= {r["prefix"] for r in QUERIES["learning_curve"](spark, FOLDER).select("prefix").collect()}
+    assert QUERIES["newest_articles"](spark, FOLDER).count() > 100

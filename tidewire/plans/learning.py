@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewire.operators import models, neural, projection, splits, stats, terms, vectors
-from tidewire.plans.base import ANN, ART, LAB, ORACLES, anns, arts, query, r6
+from tidewire.plans.base import ANN, ART, LAB, anns, arts, query, r6
 from tidewire.plans.sets import SWEEP
 from tidewire.plans.statistics import CATEGORIES
 from tidewire.plans.vectors import emb, weighted
 from tidewire.sources.tables import table
 from tidewire.storage import cut
 
-SOME = CATEGORIES[:4]
-_CATS = ", ".join(f"'{c}'" for c in SOME)
+_CATS = ", ".join(f"'{c}'" for c in CATEGORIES)
 
 
 def bags(spark, d):
@@ -36,45 +35,18 @@ weight as (select category, is_, term, ln(coalesce(w, 0) + 1) - ln((select coale
 
 @query(f"with {_NB} select category, is_::int as \"is\", round(prior, 6) prior from prior")
 def nb_priors(spark, d):
-    prior, _ = models.nb_counts(bags(spark, d), labels(spark, d), SOME)
+    prior, _ = models.nb_counts(bags(spark, d), labels(spark, d), CATEGORIES)
     return prior.withColumn("prior", r6("prior"))
 
 
 @query(f"with {_NB} select category, is_::int as \"is\", term, round(weight, 6) weight from weight")
 def nb_params(spark, d):
-    _, weights = models.nb_counts(bags(spark, d), labels(spark, d), SOME)
+    _, weights = models.nb_counts(bags(spark, d), labels(spark, d), CATEGORIES)
     return weights.withColumn("weight", r6("weight"))
 
 
 @query(f"with {_NB}, gain as (select category, term, sum(case when is_ then weight else -weight end) g from weight group by all), base as (select category, sum(case when is_ then prior else -prior end) b from prior group by 1), test as (select article_id id, term, mc from ann where article_id in (select id from art where split_name = 'test')) select id, category, round(sum(mc * g) + any_value(b), 5) margin, sum(mc * g) + any_value(b) > 0 predicted from test join gain using (term) join base using (category) group by all")
 def nb_predict(spark, d):
-    model = models.nb_fit(cut(bags(spark, d), "bags"), labels(spark, d), SOME)
-    test = arts(spark, d, "split_name").where("split_name = 'test'").select("id")
-    rows = anns(spark, d).select(F.col("article_id").alias("id"), "term", F.col("mc").alias("w")).join(test, "id", "left_semi")
-    out = models.nb_margins(rows, model)
-    return out.select("id", "category", F.round("margin", 5).alias("margin"), (F.col("margin") > 0).alias("predicted"))
-
-
-def _whole(name):
-    """The SQL of a query over four categories, over all."""
-    return ORACLES[name].replace(_CATS, ", ".join(f"'{c}'" for c in CATEGORIES))
-
-
-@query(_whole("nb_priors"))
-def nb_priors_all(spark, d):
-    """nb_priors for all categories; so the next two."""
-    prior, _ = models.nb_counts(bags(spark, d), labels(spark, d), CATEGORIES)
-    return prior.withColumn("prior", r6("prior"))
-
-
-@query(_whole("nb_params"))
-def nb_params_all(spark, d):
-    _, weights = models.nb_counts(bags(spark, d), labels(spark, d), CATEGORIES)
-    return weights.withColumn("weight", r6("weight"))
-
-
-@query(_whole("nb_predict"))
-def nb_predict_all(spark, d):
     model = models.nb_fit(cut(bags(spark, d), "bags"), labels(spark, d), CATEGORIES)
     test = arts(spark, d, "split_name").where("split_name = 'test'").select("id")
     rows = anns(spark, d).select(F.col("article_id").alias("id"), "term", F.col("mc").alias("w")).join(test, "id", "left_semi")
@@ -174,19 +146,10 @@ def training_log(spark, d):
     return out.select("run", "iteration", F.round("mean_score", 9).alias("mean_score"), F.round("mean_change", 9).alias("mean_change"))
 
 
-@query(f"with {ART}, {ANN}, k as (select term, count(*) df from ann where article_id in (select id from art where split_name = 'train') group by 1 having count(*) > 2) select t.prefix, count(*) n, count(distinct ann.term) terms from (select id, row_number() over (order by id) - 1 r from art where split_name = 'train') a join (select unnest([50, 100, 200]) prefix) t on r < t.prefix join ann on article_id = id join k using (term) group by 1")
+@query(f"with {ART}, {ANN}, k as (select term, count(*) df from ann where article_id in (select id from art where split_name = 'train') group by 1 having count(*) > 2) select t.prefix, count(*) n, count(distinct ann.term) terms from (select id, row_number() over (order by id) - 1 r from art where split_name = 'train') a join (select unnest({SWEEP}) prefix) t on r < t.prefix join ann on article_id = id join k using (term) group by 1")
 def learning_curve(spark, d):
     """Training sets of growing size, and the vocabulary that each sees."""
     train = arts(spark, d, "split_name").where("split_name = 'train'").select("id")
     rows = anns(spark, d).withColumnRenamed("article_id", "id").join(train, "id", "left_semi").select("id", "term")
     kept = terms.vocabulary_filter(rows, terms.document_frequency(rows, "id", "term", 2))
-    return splits.prefixes(train, [50, 100, 200], "id").join(kept, "id").groupBy("prefix").agg(F.count("*").alias("n"), F.count_distinct("term").alias("terms"))
-
-
-@query(ORACLES["learning_curve"].replace("[50, 100, 200]", str(SWEEP)))
-def learning_curve_whole(spark, d):
-    """learning_curve over the whole sweep of sizes."""
-    train = arts(spark, d, "split_name").where("split_name = 'train'").select("id")
-    rows = anns(spark, d).withColumnRenamed("article_id", "id").join(train, "id", "left_semi").select("id", "term")
-    kept = terms.vocabulary_filter(rows, terms.document_frequency(rows, "id", "term", 2))
     return splits.prefixes(train, SWEEP, "id").join(kept, "id").groupBy("prefix").agg(F.count("*").alias("n"), F.count_distinct("term").alias("terms"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewire.operators import enrich, splits, stats
-from tidewire.plans.base import ANN, ART, LAB, ORACLES, anns, arts, norm, query
+from tidewire.plans.base import ANN, ART, LAB, anns, arts, norm, query
 from tidewire.sources.tables import normalised, table
 
 
@@ -34,13 +34,8 @@ def hash_shuffle(spark, d):
     return splits.with_index(arts(spark, d, "split_name"), splits.luck("id"), "id").select("id", "idx")
 
 
-@query(f"with {ART} select id, id::bigint number from art where len(iptc) > 0 and regexp_full_match(id, '[0-9]{{1,18}}') order by number desc limit 100")
+@query(f"with {ART} select id, id::bigint number from art where len(iptc) > 0 and regexp_full_match(id, '[0-9]{{1,18}}') order by number desc limit 100000")
 def newest_articles(spark, d):
-    return splits.newest(arts(spark, d, "iptc"), 100).select("id", "number")
-
-
-@query(ORACLES["newest_articles"].replace("limit 100", "limit 100000"))
-def topk_newest(spark, d):
     return splits.newest(arts(spark, d, "iptc")).select("id", "number")
 
 
@@ -128,13 +123,8 @@ def label_supersample(spark, d):
     return splits.supersample_labels(arts(spark, d, "iptc"))
 
 
-@query(f"with {ART}, p as (select id, row_number() over (order by id) - 1 r from art) select id, s.prefix from p join (select unnest([100, 200, 400]) prefix) s on r < s.prefix")
+@query(f"with {ART}, p as (select id, row_number() over (order by id) - 1 r from art) select id, s.prefix from p join (select unnest({SWEEP}) prefix) s on r < s.prefix")
 def prefix_sweep(spark, d):
-    return splits.prefixes(arts(spark, d, "split_name").select("id"), [100, 200, 400], "id")
-
-
-@query(ORACLES["prefix_sweep"].replace("[100, 200, 400]", str(SWEEP)))
-def prefix_sweep_whole(spark, d):
     return splits.prefixes(arts(spark, d, "split_name").select("id"), SWEEP, "id")
 
 

@@ -87,7 +87,7 @@ def kept_vocabulary(spark, d):
     return vocabulary.join(F.broadcast(n)).withColumn("idf", r6(F.log(F.col("documents") / F.col("df"))))
 
 
-@query(ORACLES["nb_predict_all"])
+@query(ORACLES["nb_predict"])
 def kept_bayes(spark, d):
     """Naive Bayes models that are written and loaded, on the test split."""
     path, rows = new_path(spark, "bayes"), anns(spark, d)

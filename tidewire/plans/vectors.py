@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewire.operators import models, vectors
-from tidewire.plans.base import ANN, ART, EMB, ORACLES, anns, arts, query, r6
+from tidewire.plans.base import ANN, ART, EMB, anns, arts, query, r6
 from tidewire.plans.statistics import CATEGORIES
 from tidewire.sources.tables import table
 
@@ -75,17 +75,8 @@ def bow_sparse(spark, d):
     return rows.select("article_id", F.array_join(text, " ").alias("bag"))
 
 
-@query(f"with {_W}, s as (select article_id, term, row_number() over (partition by article_id order by ann_offset nulls first, term) r from w join emb using (term)) select article_id, least(count(*), 10) n, string_agg(term, ' ' order by r) filter (where r <= 10) terms, 10::bigint length from s group by 1")
+@query(f"with {_W}, s as (select article_id, term, row_number() over (partition by article_id order by ann_offset nulls first, term) r from w join emb using (term)) select article_id, least(count(*), 100) n, string_agg(term, ' ' order by r) filter (where r <= 100) terms, 100::bigint length from s group by 1")
 def sequence_cut(spark, d):
-    """The first ten annotations with a vector by offset; sequences are padded to that length."""
-    held = emb(spark, d).withColumn("v", F.struct("term", "v"))
-    rows = vectors.sequences(anns(spark, d), held, 10)
-    real = F.filter("steps", lambda s: s.isNotNull())
-    return rows.select("article_id", F.col("n").cast("long").alias("n"), F.array_join(F.transform(real, lambda s: s["term"]), " ").alias("terms"), F.size("steps").cast("long").alias("length"))
-
-
-@query(ORACLES["sequence_cut"].replace("10)", "100)").replace("<= 10)", "<= 100)").replace("10::bigint", "100::bigint"))
-def sequence_cut100(spark, d):
     """The first hundred annotations with a vector by offset; sequences are padded to that length."""
     held = emb(spark, d).withColumn("v", F.struct("term", "v"))
     rows = vectors.sequences(anns(spark, d), held)
