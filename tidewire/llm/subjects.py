@@ -48,7 +48,8 @@ CHUNK = 1_000_000
 #: Short forms whose full stop ends no sentence.
 _TITLES = ("Mr", "Mrs", "Ms", "Dr", "Prof", "St", "Jr", "Sr", "No", "vs")
 _OPEN = "".join(rf"(?<!\b{t}\.)" for t in _TITLES)
-_END = re.compile(_OPEN + r"(?<=[.!?…])[\"'”’»)\]]*\s+|" + _OPEN + r"(?<=[a-z][.!?])[\"”]*(?=[A-Z“])|\s*[\r\n]+\s*|</?\w+[^<>]{0,40}>")
+# the common signs are asked for first: most places fail there, before the short forms are tried
+_END = re.compile(r"(?<=[.!?…])" + _OPEN + r"[\"'”’»)\]]*\s+|(?<=[a-z][.!?])" + _OPEN + r"[\"”]*(?=[A-Z“])|\s*[\r\n]+\s*|</?\w+[^<>]{0,40}>")
 
 
 def sentences(text: str | None) -> list[str]:
