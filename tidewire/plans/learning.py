@@ -85,7 +85,7 @@ def feed_forward(spark, d):
 def feed_forward_ml(spark, d):
     """Spark's multilayer perceptron for each label."""
     rows = models.features(_documents(spark, d), "numbers")
-    fitted = models.each_category(rows.where("split_name = 'train'"), "iptc", CATEGORIES, models.feed_forward(64))
+    fitted = models.each_category(rows.where("split_name = 'train'"), "iptc", CATEGORIES, models.feed_forward(64), parallelism=4)
     return _said(rows, models.predicted(rows.where("split_name = 'test'"), fitted))
 
 
