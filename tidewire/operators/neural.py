@@ -15,8 +15,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-#: Rows of a task's part of the collection at most and, where there are tasks to spare, at least, about; sets of weights that one task or the driver takes the mean of, at most.
-ROWS, FEW, WIDTH = 20_000, 500, 32
+#: Rows of a task's part of the collection at most and, where there are tasks to spare, at least, about; sets of weights that one task or the driver takes the mean of, at most; nets that are trained in the same passes.
+ROWS, FEW, WIDTH, TOGETHER = 20_000, 500, 32, 16
 
 
 def _xavier(rng: np.random.Generator, n: int, m: int) -> np.ndarray:
@@ -55,7 +55,7 @@ class FeedForward:
 
     def gradients(self, x: np.ndarray, y: np.ndarray, length: np.ndarray | None = None) -> list[np.ndarray]:
         out = self.forward(x)
-        delta, grads = (out[-1] - np.eye(2)[y]) / len(x), []
+        delta, grads = (out[-1] - np.eye(2, dtype=out[-1].dtype)[y]) / len(x), []
         for i in range(len(self.weights) - 2, -1, -2):
             grads = [out[i // 2].T @ delta, delta.sum(0), *grads]
             if i:
@@ -161,7 +161,7 @@ def _arrays(frame: pd.DataFrame, net) -> tuple[np.ndarray, np.ndarray]:
 def _mean(sets: list[tuple[list[np.ndarray], int]]) -> tuple[list[np.ndarray], int]:
     """The mean of sets of weights by their rows, one after the other, and the rows of all."""
     total = sum(n for _, n in sets)
-    mean = [np.zeros_like(w) for w in sets[0][0]]
+    mean = [np.zeros(w.shape) for w in sets[0][0]]
     for own, n in sets:
         for m, w in zip(mean, own, strict=True):
             m += w * (n / total)
@@ -171,7 +171,7 @@ def _mean(sets: list[tuple[list[np.ndarray], int]]) -> tuple[list[np.ndarray], i
 def _averaged(frame: pd.DataFrame) -> pd.DataFrame:
     """One row of the mean of the sets of weights of a node."""
     mean, n = _mean([(pickle.loads(w), int(k)) for w, k in zip(frame["weights"], frame["n"], strict=True)])
-    return pd.DataFrame({"node": [int(frame["node"].iloc[0])], "weights": [pickle.dumps(mean)], "n": [n]})
+    return pd.DataFrame({"node": [int(frame["node"].iloc[0])], "net": [int(frame["net"].iloc[0])], "weights": [pickle.dumps(mean)], "n": [n]})
 
 
 def spread(rows: DataFrame, workers: int | None = None) -> tuple[DataFrame, int]:
@@ -188,50 +188,73 @@ def spread(rows: DataFrame, workers: int | None = None) -> tuple[DataFrame, int]
 
 def fit(rows: DataFrame, net, rounds: int = 5, rate: float = 0.01, batch: int = 50, decay: float = 0.95, workers: int | None = None):
     """The net trained on rows (features, label). features: an array of numbers, (indices, weights) of a bag, or for a recurrent net an array of arrays, padded with nulls. rate: the step of RMSProp. workers: parts of the rows, in place of as many as they need."""
-    return _fit(*spread(rows.select("features", "label"), workers), net, rounds, rate, batch, decay)
+    from pyspark.sql import functions as F
+
+    data, workers = spread(rows.select("features", F.array("label").alias("labels")), workers)
+    return _fit(data, workers, [net], rounds, rate, batch, decay)[0]
 
 
-def _fit(data: DataFrame, workers: int, net, rounds: int, rate: float, batch: int, decay: float):
-    """``fit`` on rows (features, label) that are spread already."""
+def _fit(data: DataFrame, workers: int, nets: list, rounds: int, rate: float, batch: int, decay: float) -> list:
+    """``fit`` of several nets in the same passes, on rows (features, labels, part) that are spread already; labels has 0 or 1 for each net."""
     from pyspark.sql import functions as F
 
-    context = data.sparkSession.sparkContext
+    context, kinds = data.sparkSession.sparkContext, "node int, net int, weights binary, n long"
     for _ in range(rounds):
-        shared = context.broadcast(net)
+        shared = context.broadcast(nets)
 
         def train(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             own = pickle.loads(pickle.dumps(shared.value))
-            mean = [np.zeros_like(w) for w in own.weights]
+            for net in own:
+                net.weights = [w.astype(np.float32) for w in net.weights]  # half the memory to move; means are taken in double precision
+            means = [[np.zeros_like(w) for w in net.weights] for net in own]
+            spare = [np.zeros_like(w) for w in own[0].weights] if own else []
             seen, part_of = 0, 0
             for part in _batches(frames, batch):
-                x, length = _arrays(part, own)
-                for w, g, m in zip(own.weights, own.gradients(x, part["label"].to_numpy(int), length), mean, strict=True):
-                    m *= decay
-                    m += (1 - decay) * g * g
-                    w -= rate * g / (np.sqrt(m) + 1e-8)
+                x, length = _arrays(part, own[0])
+                x, labels = x.astype(np.float32), np.stack([np.asarray(v, int) for v in part["labels"]])
+                for k, net in enumerate(own):
+                    for w, g, m, t in zip(net.weights, net.gradients(x, labels[:, k], length), means[k], spare, strict=True):
+                        m *= np.float32(decay)
+                        np.multiply(g, g, out=t)
+                        t *= np.float32(1 - decay)
+                        m += t
+                        np.sqrt(m, out=t)
+                        t += np.float32(1e-8)
+                        np.divide(g, t, out=t)
+                        t *= np.float32(rate)
+                        w -= t
                 seen += len(part)
                 part_of = int(part["part"].iloc[0])
             if seen:
-                yield pd.DataFrame({"node": [part_of], "weights": [pickle.dumps(own.weights)], "n": [seen]})
-
-        sets, width = data.mapInPandas(train, "node int, weights binary, n long"), workers
-        while width > WIDTH:  # parts of several files may give several sets; they meet here
-            width = -(-width // WIDTH)
-            sets = sets.withColumn("node", F.pmod("node", F.lit(width)).cast("int")).groupBy("node").applyInPandas(_averaged, "node int, weights binary, n long")
-        got = sets.collect()  # one set for each part, WIDTH at most
+                for k, net in enumerate(own):
+                    yield pd.DataFrame({"node": [part_of], "net": [k], "weights": [pickle.dumps(net.weights)], "n": [seen]})
+
+        sets, width = data.mapInPandas(train, kinds), workers
+        while width > max(1, WIDTH // len(nets)):  # parts of several files may give several sets; they meet here
+            width = max(1, -(-width // WIDTH))
+            sets = sets.withColumn("node", F.pmod("node", F.lit(width)).cast("int")).groupBy("net", "node").applyInPandas(_averaged, kinds)
+        got: dict[int, list] = {}
+        for r in sets.collect():  # WIDTH at most, or one for each net
+            got.setdefault(r["net"], []).append((pickle.loads(r["weights"]), r["n"]))
         if not got:
             break
-        net.weights = _mean([(pickle.loads(r["weights"]), r["n"]) for r in got])[0]
-    return net
+        for k, own in got.items():
+            nets[k].weights = _mean(own)[0]
+    return nets
 
 
 def fit_each(rows: DataFrame, labels: str, categories: list[str], make, rounds: int = 5, rate: float = 0.01, batch: int = 50, decay: float = 0.95, workers: int | None = None) -> dict:
-    """A net for each category, from ``make()``; rows have features and an array of labels. The rows are spread once for all."""
+    """A net for each category, from ``make()``; rows have features and an array of labels. The rows are spread once, and ``TOGETHER`` nets are trained in the same passes."""
     from pyspark.sql import functions as F
 
     held = F.coalesce(F.col(labels), F.array().cast("array<string>"))
     data, workers = spread(rows.select("features", held.alias("_held")), workers)
-    return {c: _fit(data.select("features", "part", F.array_contains("_held", c).cast("int").alias("label")), workers, make(), rounds, rate, batch, decay) for c in categories}
+    out = {}
+    for i in range(0, len(categories), TOGETHER):
+        some = categories[i : i + TOGETHER]
+        marks = F.array(*[F.array_contains("_held", c).cast("int") for c in some]).alias("labels")
+        out |= dict(zip(some, _fit(data.select("features", "part", marks), workers, [make() for _ in some], rounds, rate, batch, decay), strict=True))
+    return out
 
 
 def predict(rows: DataFrame, nets: dict, key: str = "id") -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 def minmax(vector: Column) -> Column:
     """A vector scaled to 0 to 1 by its own least and greatest component; one without a range is all 0."""
-    least, span = F.array_min(vector), F.array_max(vector) - F.array_min(vector)
-    return F.transform(vector, lambda x: F.coalesce(F.try_divide((x - least).cast("double"), span.cast("double")), F.lit(0.0)))
+    # arrays of one entry bind the vector and its bounds, which are else found again for each component
+    bound = F.transform(F.array(vector), lambda v: F.struct(v.alias("v"), F.array_min(v).alias("least"), (F.array_max(v) - F.array_min(v)).cast("double").alias("span")))
+    return F.get(F.transform(bound, lambda s: F.transform(s["v"], lambda x: F.coalesce(F.try_divide((x - s["least"]).cast("double"), s["span"]), F.lit(0.0)))), F.lit(0))
 
 
 def to_csv(vector: Column) -> Column:
