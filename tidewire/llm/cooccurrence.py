@@ -72,21 +72,25 @@ class PairTable:
     def _touched(self, name: str, rows: DataFrame) -> list[int]:
         return [r[0] for r in rows.select(self._bucket(name)).distinct().collect()]  # as many numbers as buckets at most
 
-    def _write(self, name: str, rows: DataFrame, touched: list[int]) -> dict[str, str]:
-        """Write rows as a new version of the touched buckets; those that nothing is left of have no version. Each bucket is one task's."""
+    def _write(self, name: str, rows: DataFrame, touched: list[int], summed: bool = False) -> dict[str, str]:
+        """Write rows as a new version of the touched buckets; those that nothing is left of have no version. Each bucket is one task's. summed: rows of a key are summed there, so they are shuffled once."""
         version = uuid.uuid4().hex[:12]
         where = f"{self.path}/{name}/{version}"
-        rows.withColumn("bucket", self._bucket(name)).repartition(len(touched), "bucket").write.partitionBy("bucket").option("compression", "zstd").parquet(where)
+        dealt = rows.withColumn("bucket", self._bucket(name)).repartition(len(touched), "bucket")
+        if summed:
+            dealt = dealt.groupBy("bucket", *KEYS[name]).agg(F.sum("n").alias("n")).where("n <> 0").select(*KEYS[name], "n", "bucket")
+        dealt.write.partitionBy("bucket").option("compression", "zstd").parquet(where)
         listed = [s.getPath().getName() for s in self._fs.listStatus(self._at(f"{name}/{version}"))]
         kept = {b: v for b, v in self.manifest[name].items() if int(b) not in touched}
         return kept | {n.split("=")[1]: version for n in listed if n.startswith("bucket=")}
 
     def _merge(self, name: str, deltas: DataFrame) -> dict[str, str]:
-        keys, touched = KEYS[name], self._touched(name, deltas)
+        if not self.manifest[name]:
+            return self._write(name, deltas.select(*KEYS[name], "n"), list(range(self.buckets)))
+        touched = self._touched(name, deltas)
         if not touched:
             return self.manifest[name]
-        merged = self.read(name, touched).unionByName(deltas.select(*keys, "n")).groupBy(*keys).agg(F.sum("n").alias("n")).where("n <> 0")
-        return self._write(name, merged, touched)
+        return self._write(name, self.read(name, touched).unionByName(deltas.select(*KEYS[name], "n")), touched, summed=True)
 
     def update(self, baskets: DataFrame) -> DataFrame:
         """Take in a batch of (field_name, basket, version, items): later versions replace earlier ones, a null version is the earliest.
@@ -99,7 +103,7 @@ class PairTable:
         batch = baskets.where("field_name is not null and basket is not null").select("field_name", "basket", F.struct(early.alias("version"), clean.alias("items")).alias("row"))
         self._scratch = f"scratch/{uuid.uuid4().hex[:12]}"
         batch = self._kept(batch.groupBy("field_name", "basket").agg(F.max("row").alias("row")).select("field_name", "basket", "row.*"), "batch")
-        touched = self._touched("baskets", batch)
+        touched = self._touched("baskets", batch) if self.manifest["baskets"] else list(range(self.buckets)) * (not batch.isEmpty())
         if not touched:
             return self.scores().where("false")
         old = self.read("baskets", touched).select("field_name", "basket", F.col("version").alias("was"), F.col("items").alias("old"))
