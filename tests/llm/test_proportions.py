@@ -46,3 +46,13 @@ def test_overlapping_categories_and_size(spark):
         out, report = proportions.sample(rows, targets, size)
         assert out.count() == size == out.select("id").distinct().count()
         assert {r["topic"] for r in report.collect()} == {"all", "x", "y", "z"}
+
+
+def test_contradictory_targets_end(spark):
+    """Two categories that always come together with targets that differ: one leaves the dual, the size is kept."""
+    rows = spark.range(900).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") % 3 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("c"))).alias("subjects"))
+    targets = spark.createDataFrame([("a", 100, 0), ("b", 300, 0), ("c", 600, 0)], "topic string, target_permille int, min_rows int")
+    out, report = proportions.sample(rows, targets, 300)
+    by = {r["topic"]: r for r in report.collect()}
+    assert out.count() == 300 and by["a"]["sampled"] == by["b"]["sampled"] and by["a"]["sampled"] + by["c"]["sampled"] == 300
+    assert not any(r["gap"] for r in by.values())

@@ -4,10 +4,10 @@ Rows may be of several categories. A row counts for each of them, so the counts
 common factor. Inclusion probabilities are calibrated by exponential tilting, p = 1 / (1 + exp(-(l0 + the sum of l over the row's
 categories))): the dual is convex and its Newton steps need only the moments of the categories, which are aggregated over
 the distinct sets of categories with their counts - one small job a step. The sample's size and each count, certain rows included, are met exactly; the factor is free,
-as the multiplier of the condition that l is at right angles to the targets. Steps end when the conditions hold, and it is an error if they don't within ``STEPS``.
+as the multiplier of the condition that l is at right angles to the targets. Steps end when the conditions hold.
 
 Categories that can't be in proportion leave the dual: those with no more rows than asked for, and those whose l runs beyond ``TILT``, are taken with all their rows; those that
-certain rows alone bring over their target get none but these. Floors are fixed first: the least rows asked of each other category are certain.
+certain rows alone bring over their target get none but these. Where conditions contradict each other without any l running away, as with categories that always come together, the one that others bring over its target most leaves and goes where they lead. Floors are fixed first: the least rows asked of each other category are certain.
 
 The sample is drawn with the pivotal method: two units at a time settle their probabilities against each other until one of them is in or out. Each
 task runs along its rows in order of their set of categories, so that every set gets its share of a task to within a unit; the last unit of
@@ -67,7 +67,7 @@ class Dual:
 def calibrate(patterns: DataFrame, targets: dict[str, float], fixed: dict[str, float], size: float, start: dict[str, float] | None = None) -> tuple[float, dict[str, float], float]:
     """l0, l of each category and the factor f, so that of the free rows ``size`` are expected and each category's expected count, with its fixed one, is f times its target.
 
-    patterns: (subjects, n) of the free rows. Ends early when a category's l is beyond ``TILT``: then no f can be met.
+    patterns: (subjects, n) of the free rows. Ends early when a category's l is beyond ``TILT``: then no f can be met; of conditions that contradict each other one is given l NaN.
     """
     names = sorted(targets)
     dual, t = Dual(patterns, names), np.array([targets[c] for c in names])
@@ -94,6 +94,8 @@ def calibrate(patterns: DataFrame, targets: dict[str, float], fixed: dict[str, f
             return l0, dict(zip(names, tilt.tolist(), strict=True)), factor
         if np.abs(tilt).max(initial=0) > TILT:
             return l0, dict(zip(names, tilt.tolist(), strict=True)), factor
+        if np.abs(step).max(initial=0) < 1e-7 and (off[1:] > 0.05 + 1e-4 * np.maximum(t, held)).any():
+            break
         step *= min(1.0, 4.0 / max(1e-12, np.abs(step).max()))
         now, slope = value(z, l0, tilt), float(gradient @ step)
         for _ in range(30):
@@ -103,7 +105,11 @@ def calibrate(patterns: DataFrame, targets: dict[str, float], fixed: dict[str, f
             step, slope = step / 2, slope / 2
         l0, tilt = l0 + step[0], tilt + step[1:]
         z, first, second = new
-    raise RuntimeError(f"the calibration didn't converge in {STEPS} steps")
+    if not names:
+        raise RuntimeError(f"the calibration didn't converge in {STEPS} steps")
+    more = (gradient - factor * normal)[1:] / np.maximum(t, 1.0)  # what a category has beyond its target
+    tilt[int(np.argmax(more if (more > 0).any() else -more))] = np.nan
+    return l0, dict(zip(names, tilt.tolist(), strict=True)), factor
 
 
 def pivotal(chance: np.ndarray, luck: np.ndarray, kept: tuple[int, float] | None) -> tuple[list[int], list[int], tuple[int, float] | None]:
@@ -168,7 +174,7 @@ def sample(rows: DataFrame, targets: DataFrame, size: int | None = None, seed: i
     targets: (topic, target_permille, min_rows); null numbers are 0, repeated topics count once with their greatest numbers. size: the sample's, half of the rows
     if not given. The sample is (id, subjects, chance). The report is (topic, held, required, sampled, shortage, gap, target_permille, share_permille, expected): required is the
     greater of min_rows and the target's rows, rounded up; shortage is what required exceeds held by, gap what it exceeds sampled by, both 0 if met. share_permille is what the topic's
-    rows are of the sample; expected is the common factor times the target's rows, or all rows held if the topic was out of reach and had to be taken whole; null for topics that others' certain rows bring over their target.
+    rows are of the sample; expected is the common factor times the target's rows, or all rows held if the topic was out of reach and had to be taken whole; null for topics that others' rows bring over their target.
     Topics that no row has are reported too; rows of no target's category are drawn with what is left. If floors ask for more than the sample holds, they are only
     calibrated for. Empty tables give empty results.
     """
@@ -206,7 +212,7 @@ def sample(rows: DataFrame, targets: DataFrame, size: int | None = None, seed: i
         by = certain.select("n", F.explode("subjects").alias("topic")).where(F.col("topic").isin(list(need))).groupBy("topic").agg(F.sum("n").alias("n")).collect()
         return certain, count, {r["topic"]: r["n"] for r in by}
 
-    whole, over, floor, tilt = set(short), {}, True, {}
+    whole, over, loose, floor, tilt = set(short), set(), set(), True, {}
     if fixed_by(whole, floor)[1] > size:
         floor = False
         if fixed_by(whole, floor)[1] > size:
@@ -214,21 +220,21 @@ def sample(rows: DataFrame, targets: DataFrame, size: int | None = None, seed: i
     while True:
         _, certain, fixed = fixed_by(whole, floor)
         free = patterns.where(~(within(whole) | (F.col("floor") if floor else F.lit(False))))
-        goal = {c: share[c] for c in need if share[c] > 0 and held.get(c, 0) and c not in whole and c not in over}
+        goal = {c: share[c] for c in need if share[c] > 0 and held.get(c, 0) and c not in whole | over | loose}
         fixed_over = free.where(~within(over)) if over else free  # categories over their target get no further rows while others are left
         left = fixed_over.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         if left < size - certain:
             fixed_over, goal = free, {}
         l0, tilt, factor = calibrate(fixed_over, goal, fixed, size - certain, tilt)
-        far = max(tilt, key=lambda c: abs(tilt[c]), default=None)
+        far = max(tilt, key=lambda c: np.inf if np.isnan(tilt[c]) else abs(tilt[c]), default=None)
         if far is None or abs(tilt[far]) <= TILT:
             break
-        if tilt[far] < 0:
-            over[far] = None
-        elif fixed_by(whole | {far}, floor)[1] <= size:
+        if tilt[far] < 0:  # certain rows bring it over its target
+            over.add(far)
+        elif tilt[far] > 0 and fixed_by(whole | {far}, floor)[1] <= size:
             whole.add(far)
-        else:  # all its rows are more than there is room for
-            over[far] = None
+        else:  # contradicted, or all its rows are more than there is room for
+            loose.add(far)
         tilt = {c: v for c, v in tilt.items() if c != far and abs(v) < TILT / 2}
     out_of = within(over) if fixed_over is not free else F.lit(False)
     sure = within(whole) | (F.col("floor") if floor else F.lit(False))
