@@ -8,6 +8,9 @@ from tidewire.operators import models, neural, projection, splits, stats, terms,
 from tidewire.plans.base import ANN, ART, LAB, anns, arts, query, r6
 from tidewire.plans.sets import SWEEP
 from tidewire.plans.statistics import CATEGORIES
+from tidewire.plans.vectors import _MM as MINMAX
+from tidewire.plans.vectors import _NB as SCALED
+from tidewire.plans.vectors import _W as WEIGHTS
 from tidewire.plans.vectors import emb, weighted
 from tidewire.sources.tables import table
 from tidewire.storage import cut
@@ -65,7 +68,16 @@ def _said(rows, pred):
     return pred.select("id", F.array_join("pred", ",").alias("pred"))
 
 
-@query()
+_VECTORS = f"""{ART}, {WEIGHTS}, {SCALED}, m as (select article_id, {MINMAX('e')} v from q), r as (select article_id, unnest(v) x, generate_subscripts(v, 1) i from m), vec as (select article_id id, i term, sum(x) w from r group by all),
+bag as (select * from vec where id in (select id from art where split_name = 'train')), cat as (select unnest([{_CATS}]) category), doc as (select distinct id from bag),
+held as (select distinct id, x category from (select id, unnest(iptc) x from art) where id in (select id from doc)), flag as (select id, category, (id, category) in (select id, category from held) is_ from doc, cat),
+prior as (select category, is_, ln(count(*) + 1) - ln((select count(*) from doc) + 2) prior from flag group by all), cell as (select category, is_, term, sum(w) w from flag join bag using (id) group by all),
+weight as (select category, is_, term, ln(w + 1) - ln(sum(w) over (partition by category, is_) + count(*) over (partition by category, is_)) weight from cell),
+gain as (select category, term, sum(case when is_ then weight else -weight end) g from weight group by all having count(*) = 2), base as (select category, sum(case when is_ then prior else -prior end) b from prior group by 1 having count(*) = 2),
+margin as (select id, category, sum(w * g) + any_value(b) m from vec join gain using (term) join base using (category) where id in (select id from art where split_name = 'test') group by all)"""
+
+
+@query(f"with {_VECTORS} select id, coalesce(string_agg(category, ',' order by category) filter (where m > 0), '') pred from margin group by id")
 def nb_ml(spark, d):
     """Spark's naive Bayes for each label, on normalised document vectors."""
     rows = models.features(_documents(spark, d, normalise=True), "numbers")
