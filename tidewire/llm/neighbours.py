@@ -6,7 +6,7 @@ measured: for ``TESTED`` vectors of each field the exact neighbours are found by
 accuracy is known at any size and for any data: the sharper the clusters, the fewer lists are visited. ``accuracy`` states what came out.
 
 In a list, the asymmetric distance tables of the query - the inner products of its parts with all codewords - give a score for every entry. What a code leaves out of its vector is known for each
-entry, so a score says how great the cosine can be: entries that can't be among the best so far, by ``DEVIATIONS`` times the score's deviation, are left (at 4 a neighbour is lost once in 30,000; at 8 the bound is a proof);
+entry, so a score says how great the cosine can be: entries that can't be among the best so far, by ``DEVIATIONS`` times the score's deviation, are left (at 4 a neighbour were lost once in 30,000 if errors were normal; at 8 the bound is a proof);
 all others are ranked by their exact cosine, in double precision, from the vectors that lie beside the codes. Entries of the same cosine come by key,
 however many they are. The best of all lists visited are the result. Vectors are unit vectors, so the inner product is the cosine. With a target of 1 and 8 deviations the search is exact but for neighbours of vectors not tested; ``visits`` set to all lists makes it exact.
 
