@@ -5,23 +5,26 @@ indexed: it is in the list of its nearest centroid, with a byte for each of ``PA
 measured: for ``TESTED`` vectors of each field the exact neighbours are found by one pass over all vectors, and the visits are as many as ``TARGET`` of those neighbours lie in. So the loss of
 accuracy is known at any size and for any data: the sharper the clusters, the fewer lists are visited. ``accuracy`` states what came out.
 
-In a list, the asymmetric distance tables of the query - the inner products of its parts with all codewords - give a score for every entry. What a code leaves out of its vector is known for each
+In a list, a matrix product of the queries with the decoded codes gives a score for every entry. What a code leaves out of its vector is known for each
 entry, so a score says how great the cosine can be: entries that can't be among the best so far, by ``DEVIATIONS`` times the score's deviation, are left (at 4 a neighbour were lost once in 30,000 if errors were normal; at 8 the bound is a proof);
 all others are ranked by their exact cosine, in double precision, from the vectors that lie beside the codes. Entries of the same cosine come by key,
 however many they are. The best of all lists visited are the result. Vectors are unit vectors, so the inner product is the cosine. With a target of 1 and 8 deviations the search is exact but for neighbours of vectors not tested; ``visits`` set to all lists makes it exact.
 
 Keys whose vectors have the same direction to twelve digits are one entry with its least keys, so a vector that a third of all keys share is searched once. Lists that follow one another are a shelf of
-about ``ROWS`` entries; shelves of more than twice as many are cut into blocks, and queries of a shelf into chunks; each task compares one chunk with one block, both bounded.
+about ``ROWS`` entries, written once, as one or several files of the shared folder. A task takes at most ``PIECE`` queries of a file and reads the shelves with lists that they visit, the nearest first and ``ROWS`` entries at a time;
+it keeps the k best of each query. So no vector is shuffled for a visit and disk grows as the vectors, not as the visits; reading grows as the visits.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +35,8 @@ from tidewire.storage import cut
 SIZE, K, LEAST = 64, 5, 0.85
 #: Vectors of each field that centroids and codebooks are fitted on: eight for each list, but these at least and at most; parts of a vector; codewords of a part.
 SAMPLE, SAMPLE_MOST, PARTS, WORDS = 20_000, 65_536, 16, 256
-#: Lists at most (there are as many as the root of the vectors), lists that a query visits at least, entries of a shelf (a block or chunk has twice as many at most).
-LISTS, PROBES, ROWS = 8192, 24, 4096
+#: Lists at most (there are as many as the root of the vectors), lists that a query visits at least, entries of a shelf, about, and of what is read at a time; queries of a task at most.
+LISTS, PROBES, ROWS, PIECE = 8192, 24, 4096, 4096
 #: Vectors of each field whose exact neighbours are looked up, and the part of those neighbours that must lie in the lists visited.
 TESTED, TARGET = 256, 0.98
 #: Deviations of a score within which an entry is ranked exactly.
@@ -117,67 +120,80 @@ def merged(best: np.ndarray, row: np.ndarray, cosine: np.ndarray) -> np.ndarray:
 
 
 def exact(q: np.ndarray, x: np.ndarray, row: np.ndarray, column: np.ndarray) -> np.ndarray:
-    """Cosines of pairs of rows of q and x, to ten digits, some at a time."""
+    """Cosines of pairs of rows of q and x, some at a time."""
     out = [np.einsum("nd,nd->n", q[row[i : i + 65_536]], x[column[i : i + 65_536]]) for i in range(0, len(row), 65_536)]
-    return np.round(np.concatenate(out), 10) if out else np.zeros(0)
+    return np.concatenate(out) if out else np.zeros(0)
 
 
-def best_of(q: np.ndarray, visits: list, x: np.ndarray, own: np.ndarray, codes: np.ndarray, itself: np.ndarray, centroids: np.ndarray, words: np.ndarray, k: int, deviations: float = DEVIATIONS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, entry, cosine), by place: the k entries of greatest cosine for each query in the lists it visits; of cosines that are the same to ten digits the first entries.
+class Search:
+    """The k entries of greatest cosine for each of some queries, list after list; of cosines that are the same to ten digits the least keys.
 
-    q, x: unit vectors of queries and entries; visits: each query's lists; own, codes: each entry's list and codewords; itself: the entry that is the query, or -1.
+    q: unit vectors; what is held beside them is k entries for each and ties. Entries are told apart by a number, ``itself`` is a query's own.
     """
-    near = q.astype(np.float32)
-    rest = x - (centroids[own] + np.concatenate([words[m, codes[:, m]] for m in range(PARTS)], axis=1))
-    # the score of an entry of cosine c is c (1 - x rest) but for what is at right angles to x, whose deviation is that of a random direction
-    kept_part = (1 - np.minimum((x * rest).sum(1), 0.999)).astype(np.float32)
-    spread = (deviations / np.sqrt(SIZE) * np.linalg.norm(rest, axis=1) + 1e-5).astype(np.float32)  # single precision adds less than 1e-5
-    lists, place = np.unique(own, return_inverse=True)
-    held_by = np.split(np.argsort(place, kind="stable"), np.cumsum(np.bincount(place))[:-1])
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for begin in range(0, len(q), 512):
-        part = np.arange(begin, min(begin + 512, len(q)))
-        tables = [near[part, m * SIZE // PARTS : (m + 1) * SIZE // PARTS] @ words[m].T for m in range(PARTS)]
-        who, where = np.repeat(np.arange(len(part)), [len(visits[i]) for i in part]), np.concatenate([visits[i] for i in part]).astype(int)
-        best, found = np.full((len(part), k), -9.0), []
-        for list_, held in zip(lists.tolist(), held_by, strict=True):
-            asking = who[where == list_]
-            if not len(asking):
-                continue
-            score = np.repeat((near[part[asking]] @ centroids[list_])[:, None], len(held), axis=1)
-            for m in range(PARTS):
-                score += np.take(tables[m][asking], codes[held, m], axis=1)
-            new = np.flatnonzero(best[asking, 0] < -8)  # a first guess of the k-th best
-            if len(new) and len(held) > 4 * k:
-                guess = np.argpartition(-score[new], 4 * k, axis=1)[:, : 4 * k]
-                row, column = np.repeat(asking[new], 4 * k), held[guess.reshape(-1)]
-                other = column != itself[part[row]]
+
+    def __init__(self, q: np.ndarray, itself: np.ndarray, k: int, deviations: float = DEVIATIONS) -> None:
+        self.q, self.itself, self.k, self.deviations = q, itself, k, deviations
+        self.near = np.concatenate([q, np.ones((len(q), 1))], axis=1).astype(np.float32)
+        self.best = np.full((len(q), k), -9.0)
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # query, key, cosine
+        self.held = 0
+
+    def visit(self, asking: np.ndarray, x: np.ndarray, decoded: np.ndarray, number: np.ndarray, keys: np.ndarray) -> None:
+        """asking: queries; x, decoded: unit vectors of a list's entries and what their codes say; number, keys: of the entries."""
+        rest, k, best = x - decoded, self.k, self.best
+        # the score of an entry of cosine c is c (1 - x rest) but for what is at right angles to x, whose deviation is that of a random direction
+        kept_part = 1 - np.minimum((x * rest).sum(1), 0.999)
+        spread = self.deviations / np.sqrt(SIZE) * np.linalg.norm(rest, axis=1) + 1e-5  # single precision adds less than 1e-5
+        most = (np.concatenate([decoded, spread[:, None]], axis=1) / kept_part[:, None]).astype(np.float32)
+        for begin in range(0, len(asking), 2048):
+            part = asking[begin : begin + 2048]
+            able_at = self.near[part] @ most.T  # the greatest cosine that an entry can have
+            least = best[part, 0].copy()
+            new = np.flatnonzero(least < -8)  # a first guess of the k-th best
+            if len(new) and len(x) > 4 * k:
+                guess = np.argpartition(-able_at[new], 4 * k, axis=1)[:, : 4 * k]
+                row, column = np.repeat(new, 4 * k), guess.reshape(-1)
+                other = number[column] != self.itself[part[row]]
                 row, column = row[other], column[other]
-                guessed = merged(best, row, exact(q[part], x, row, column))
-                least = np.where(best[:, 0] < -8, guessed[:, 0], best[:, 0])
-            else:
-                least = best[:, 0]
-            able = score >= (least[asking, None] * kept_part[None, held] - spread[None, held] - 1e-9).astype(np.float32)
-            row, column = np.nonzero(able)
-            row, column = asking[row], held[column]
-            other = column != itself[part[row]]
+                least[new] = merged(best[part], row, np.round(exact(self.q[part], x, row, column), 10))[new, 0]
+            row, column = np.nonzero(able_at >= (least - 1e-6).astype(np.float32)[:, None])
+            other = number[column] != self.itself[part[row]]
             row, column = row[other], column[other]
-            cosine = exact(q[part], x, row, column)
-            on = cosine >= least[row] - 1e-9
+            cosine = exact(self.q[part], x, row, column)
+            on = np.round(cosine, 10) >= least[row] - 1e-9
             row, column, cosine = row[on], column[on], cosine[on]
-            best = merged(best, row, cosine)
-            on = cosine >= best[row, 0]
-            found.append((row[on], column[on], cosine[on]))
-        if found:
-            row, column, cosine = (np.concatenate(a) for a in zip(*found, strict=True))
-            on = cosine >= best[row, 0]
-            out.append((part[row[on]], column[on], cosine[on]))
-    query, entry, cosine = (np.concatenate(a) for a in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-    order = np.lexsort((entry, -cosine, query))
-    query, entry = query[order], entry[order]
-    first = np.arange(len(query)) - np.searchsorted(query, query) < k
-    query, entry = query[first], entry[first]
-    return query, entry, np.einsum("nd,nd->n", q[query], x[entry])
+            if len(row):
+                best[part] = merged(best[part], row, np.round(cosine, 10))
+                on = np.round(cosine, 10) >= best[part[row], 0]
+                self.found.append((part[row[on]], keys[column[on]], cosine[on]))
+                self.held += int(on.sum())
+        if self.held > 8 * k * len(self.q):
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, key, cosine) of the best so far, by query and place."""
+        if not self.found:
+            return np.zeros(0, int), np.zeros(0, object), np.zeros(0)
+        query, key, cosine = (np.concatenate(a) for a in zip(*self.found, strict=True))
+        on = np.round(cosine, 10) >= self.best[query, 0]
+        query, key, cosine = query[on], key[on], cosine[on]
+        order = np.lexsort((np.unique(key, return_inverse=True)[1], -np.round(cosine, 10), query))
+        query, key, cosine = query[order], key[order], cosine[order]
+        on = np.arange(len(query)) - np.searchsorted(query, query) < self.k
+        self.found, self.held = [(query[on], key[on], cosine[on])], int(on.sum())
+        return self.found[0]
+
+
+def stored(file: str, columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of a Parquet file of the shared folder, ``ROWS`` at a time; pyarrow reads file, hdfs, s3 and gs."""
+    where, path = FileSystem.from_uri(re.sub("^s3[an]:", "s3:", file))
+    with where.open_input_file(path) as handle:
+        yield from pq.ParquetFile(handle).iter_batches(ROWS, columns=columns, use_threads=False)
+
+
+def unpacked(batch: pa.RecordBatch) -> np.ndarray:
+    """Unit vectors of a batch's raw ones."""
+    return unit(np.frombuffer(b"".join(batch.column("raw").to_pylist()), np.float32).reshape(batch.num_rows, SIZE).astype(np.float64))
 
 
 def tested_ranks(entries: DataFrame, tested: DataFrame, fitted: dict[str, Quantiser], k: int) -> dict[str, tuple[np.ndarray, list]]:
@@ -277,6 +293,8 @@ def neighbours(rows: DataFrame, k: int = K, target: float = TARGET, visits: int
     per = {f: max(1, ROWS * len(q.centroids) // totals[f]) for f, q in fitted.items()}  # lists of a shelf
     shared = spark.sparkContext.broadcast({f: (q.centroids, q.words) for f, q in fitted.items()})  # bounded by LISTS and WORDS
 
+    names = list(fitted)
+
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fields = np.array(batch.column(0).to_pylist(), object)
@@ -287,55 +305,78 @@ def neighbours(rows: DataFrame, k: int = K, target: float = TARGET, visits: int
                 q.centroids, q.words = shared.value[field]
                 for part in np.array_split(at, len(at) // 4096 + 1):
                     u = unit(x[part].astype(np.float64)).astype(np.float32)
-                    near = u @ q.centroids.T
-                    first = np.argpartition(-near, visit[field] - 1, axis=1)[:, : visit[field]]
-                    own = near.argmax(1)
+                    own = (u @ q.centroids.T).argmax(1)
                     code = q.code(u, own)
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, visit[field] * len(part) + 1, visit[field], dtype=np.int32)), pa.array(first.reshape(-1).astype(np.int32)))
-                    rows = batch.take(pa.array(part))
-                    yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([r.tobytes() for r in x[part]], pa.binary()), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in code], pa.binary()), lists], ["field_name", "key", "raw", "own", "code", "visits"])
-
-    placed = cut(entries.mapInArrow(assign, "field_name string, key string, raw binary, own int, code binary, visits array<int>"), "p2-placed")
-
-    # how many blocks a shelf has, how many chunks its queries: no more numbers than lists
-    width = F.create_map(*[F.lit(x) for f in per.items() for x in f])[F.col("field_name")]
-    shelf = lambda x: F.floor(x / width).cast("int")
-    index = placed.select("field_name", "key", "raw", "code", F.col("own"), shelf(F.col("own")).alias("shelf"))
-    asked = placed.select("field_name", "key", "raw", "visits", F.explode(F.array_distinct(F.transform("visits", shelf))).alias("shelf")).withColumn("visits", F.filter("visits", lambda x: shelf(x) == F.col("shelf")))
-    parts = lambda df, name: df.groupBy("field_name", "shelf").agg(F.ceil(F.count("*") / (2 * ROWS)).cast("int").alias(name))
-    plan = cut(parts(index, "blocks").join(parts(asked, "chunks"), ["field_name", "shelf"]), "p2-plan")
-    slot = lambda n: F.pmod(F.xxhash64(F.lit(1), "key"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    index = index.join(F.broadcast(plan), ["field_name", "shelf"]).withColumn("block", slot("blocks")).withColumn("chunk", every("chunks"))
-    asked = asked.join(F.broadcast(plan), ["field_name", "shelf"]).withColumn("chunk", slot("chunks")).withColumn("block", every("blocks"))
-    group = ["field_name", "shelf", "block", "chunk"]
-    both = index.withColumn("visits", F.lit(None).cast("array<int>")).select(*group, "key", "raw", "code", "own", "visits")
-    both = both.unionByName(asked.select(*group, "key", "raw", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("int").alias("own"), "visits"))
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        entry = rows["code"].notna().to_numpy()
-        if not entry.any() or entry.all():
-            return pd.DataFrame(columns=["field_name", "key", "other", "cosine"])
-        field = rows["field_name"].iloc[0]
-        index, asking = rows[entry].sort_values("key"), rows[~entry]
-        vectors = lambda df: unit(np.frombuffer(b"".join(df["raw"]), np.float32).reshape(len(df), SIZE).astype(np.float64))
-        codes = np.frombuffer(b"".join(index["code"]), np.uint8).reshape(-1, PARTS)
-        at, others, cosine = best_of(vectors(asking), asking["visits"].to_list(), vectors(index), index["own"].to_numpy(int), codes, pd.Index(index["key"]).get_indexer(asking["key"]), *shared.value[field], k, deviations)
-        return pd.DataFrame({"field_name": field, "key": asking["key"].to_numpy()[at], "other": index["key"].to_numpy()[others], "cosine": cosine})
-
-    found = both.groupBy(*group).applyInPandas(compare, "field_name string, key string, other string, cosine double")
-    ranked = lambda df: df.withColumn("rank", F.row_number().over(Window.partitionBy("field_name", "key").orderBy(F.round("cosine", 10).desc(), "other"))).where(F.col("rank") <= k)
-    found = cut(ranked(found).drop("rank"), "p2-found")
+                    place = [pa.array(np.full(len(part), names.index(field), np.int32)), pa.array((own // per[field]).astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(part)), pa.array([r.tobytes() for r in x[part]], pa.binary()), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in code], pa.binary()), *place], ["key", "raw", "own", "code", "field", "shelf"])
+
+    placed = entries.mapInArrow(assign, "key string, raw binary, own int, code binary, field int, shelf int")
+    placed = cut(placed.hint("rebalance", F.col("field"), F.col("shelf")).sortWithinPartitions("field", "shelf", "own", "key"), "p2-placed", ["field", "shelf"])
+    # files of a shelf: what queries read, and what they are read from, some rows at a time; no more numbers than lists and rows / PIECE
+    files: dict[int, dict[int, list[str]]] = {}
+    for file in sorted(placed.inputFiles()):
+        field, shelf = map(int, re.search(r"/field=(\d+)/shelf=(\d+)/", file).groups())
+        files.setdefault(field, {}).setdefault(shelf, []).append(file)
+    piece = max(PIECE // 16, min(PIECE, -(-sum(totals.values()) // (4 * spark.sparkContext.defaultParallelism))))
+    sizes = {tuple(r[0].split("/")[-3:]): r[1] for r in placed.groupBy(F.input_file_name()).agg(F.count("*")).collect()}
+    pieces = [(field, shelf, file, begin) for field, of in files.items() for shelf, some in of.items() for file in some for begin in range(0, sizes[tuple(file.split("/")[-3:])], piece)]
+    told = spark.sparkContext.broadcast((files, pieces))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                yield _answers(i, *told.value)
+
+    def _answers(i: int, files: dict, pieces: list) -> pa.RecordBatch:
+        """The k nearest of a piece of queries in the lists they visit, read one after the other, the nearest first: what is held is the best so far."""
+        field, shelf, file, begin = pieces[i]
+        centroids, words = shared.value[names[field]]
+        seen, asked, key = 0, [], []
+        for rows in stored(file, ["key", "raw"]):
+            some = rows.slice(max(0, begin - seen), max(0, min(begin + piece, seen + rows.num_rows) - max(begin, seen))) if seen < begin + piece and begin < seen + rows.num_rows else None
+            seen += rows.num_rows
+            if some is not None:
+                asked.append(unpacked(some))
+                key += some.column(0).to_pylist()
+            if seen >= begin + piece:
+                break
+        q = np.concatenate(asked)
+        near, visits = q.astype(np.float32) @ centroids.T, visit[names[field]]
+        wanted = np.zeros(near.shape, bool)
+        np.put_along_axis(wanted, np.argpartition(-near, visits - 1, axis=1)[:, :visits], True, axis=1)
+        lists = np.flatnonzero(wanted.any(0))
+        number = {other: n for n, other in enumerate(f for of in files[field].values() for f in of)}
+        search = Search(q, (number[file] << 40) + begin + np.arange(len(q)), k, deviations)
+        closest = near.sum(0)
+        order = sorted({int(x) // per[names[field]] for x in lists} & set(files[field]), key=lambda s: (s != shelf, -closest[s * per[names[field]] : (s + 1) * per[names[field]]].max(), s))
+        for other in (f for s in order for f in files[field][s]):
+            row = number[other] << 40
+            for rows in stored(other, ["key", "raw", "own", "code"]):
+                own, every = rows.column("own").to_numpy(), np.arange(rows.num_rows)
+                keys, x = np.array(rows.column("key").to_pylist(), object), unpacked(rows)
+                codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(-1, PARTS)
+                decoded = centroids[own] + np.concatenate([words[m, codes[:, m]] for m in range(PARTS)], axis=1)
+                for at in np.split(every, np.flatnonzero(np.diff(own)) + 1):
+                    asking = np.flatnonzero(wanted[:, own[at[0]]])
+                    if len(asking):
+                        search.visit(asking, x[at], decoded[at], row + at, keys[at])
+                row += rows.num_rows
+        query, others, cosine = search.settle()
+        return pa.RecordBatch.from_arrays([pa.array([names[field]] * len(query), pa.string()), pa.array([key[x] for x in query], pa.string()), pa.array(others.tolist(), pa.string()), pa.array(cosine, pa.float64())], ["field_name", "key", "other", "cosine"])
+
+    found = cut(spark.range(0, len(pieces), 1, max(1, len(pieces))).mapInArrow(compare, "field_name string, key string, other string, cosine double"), "p2-found")
+    ranked = lambda df, *key: df.withColumn("rank", F.row_number().over(Window.partitionBy("field_name", *key).orderBy(F.round("cosine", 10).desc(), "other"))).where(F.col("rank") <= k)
 
     # keys with the same vector: any of them is near through its class's least keys; more than k + 1 of those can't be among the k
     least = Window.partitionBy("field_name", "rep").orderBy("key")
     several = members.where("n > 1")
     few = cut(several.withColumn("place", F.row_number().over(least)).where(F.col("place") <= k + 1).select("field_name", "rep", F.col("key").alias("twin")), "p2-few")
     wide = found.join(few.withColumnRenamed("rep", "other"), ["field_name", "other"], "left").select("field_name", "key", F.coalesce("twin", "other").alias("other"), "cosine")
+    wide = ranked(wide, "key").drop("rank")  # the same for all keys of a class
     mine = several.select("field_name", F.col("rep"), F.col("key").alias("own"))
     wide = wide.join(mine.withColumnRenamed("rep", "key"), ["field_name", "key"], "left").select("field_name", F.coalesce("own", "key").alias("key"), "other", "cosine")
     twins = mine.join(few, ["field_name", "rep"]).where("own <> twin").select("field_name", F.col("own").alias("key"), F.col("twin").alias("other"), F.lit(1.0).alias("cosine"))
-    return ranked(wide.unionByName(twins))
+    return ranked(wide.unionByName(twins), "key")
 
 
 def accuracy(rows: DataFrame, k: int = K, target: float = TARGET, tested: int = TESTED) -> DataFrame:
