@@ -301,3 +301,18 @@ def test_weights_are_averaged_by_a_tree(spark, monkeypatch):
         for a, b in zip(one.weights, other.weights, strict=True):  # in single precision
             assert a == pytest.approx(b, rel=1e-3, abs=1e-5)
     assert neural.spread(rows)[1] == 1
+
+
+def test_copies_of_labels_are_not_broadcast(spark):
+    """The copies look as few as the labels until they are made; sent to all tasks through the driver they filled its memory."""
+    made = spark.createDataFrame([(f"a{i:03}", ["common"] if i else ["rare"]) for i in range(300)], "id string, iptc array<string>")
+    out = splits.supersample_labels(made)
+    rows = out.collect()
+    assert len(rows) == 2 * 299 and sorted(r["copy"] for r in rows if r["label"] == "rare") == list(range(299)) and {r["id"] for r in rows if r["label"] == "rare"} == {"a000"}
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].split("\n")
+    depth, sent = [len(line) - len(line.lstrip(" +-:|")) for line in plan], []
+    for i, line in enumerate(plan):
+        if "BroadcastExchange" in line:
+            below = next((j for j in range(i + 1, len(plan)) if depth[j] <= depth[i]), len(plan))
+            sent += plan[i:below]
+    assert sent and any("Generate explode" in line for line in plan) and not any("Generate explode" in line for line in sent)

@@ -185,7 +185,8 @@ def supersample_labels(articles: DataFrame, cap: int | None = None, seed: int =
     placed = all_places.join(first, "label").withColumn("idx", (F.col("idx") - F.col("_first")).cast("int"))
     wanted = numbered(counts.withColumn("_missing", F.col("_most") - F.col("_n")), "_missing", "copy").withColumn("copy", F.col("copy") + 1)
     picked = wanted.withColumn("idx", F.floor(share("label", "copy", seed=seed) * F.col("_n")).cast("int"))
-    copies = placed.join(picked.select("label", "idx", "copy"), ["label", "idx"]).select("label", "id", "copy")
+    # the copies are made after the last shuffle whose size is known, so they look few; without the hint all of them would be broadcast
+    copies = placed.join(picked.select("label", "idx", "copy").hint("merge"), ["label", "idx"]).select("label", "id", "copy")
     return rows.select("label", "id", F.lit(0).cast("long").alias("copy")).unionByName(copies)
 
 
