@@ -316,3 +316,52 @@ def test_copies_of_labels_are_not_broadcast(spark):
             below = next((j for j in range(i + 1, len(plan)) if depth[j] <= depth[i]), len(plan))
             sent += plan[i:below]
     assert sent and any("Generate explode" in line for line in plan) and not any("Generate explode" in line for line in sent)
+
+
+def test_perceptrons_of_all_categories_are_spark_s_own(spark):
+    """The weights of Spark's trainer on the same rows in one partition, without a job for each gradient of each category."""
+    import numpy as np
+
+    from tidewire.operators import perceptron
+
+    x = np.random.default_rng(5).normal(size=(300, 4))  # the last block has fewer rows than the others
+    x[250:] = x[:50]  # rows of the same features, with the same labels or others
+    held = [[c for c, ok in (("x", v[0] * v[1] > 0), ("y", v[2] + v[3] > 0.5 or i > 280)) if ok] for i, v in enumerate(x)]
+    rows = models.features(spark.createDataFrame([(i, x[i].tolist(), held[i]) for i in range(300)], "id int, numbers array<double>, iptc array<string>").repartition(3), "numbers")
+    fit, cats = models.feed_forward(4, (6, 5), rounds=20, kind=np.float64), ["x", "y", "none"]
+    spark.sparkContext.setJobGroup("perceptrons", "")
+    together = models.each_category(rows, "iptc", cats, fit)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("perceptrons"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert list(together) == cats and jobs < 20
+    few = models.feed_forward(4, (6, 5), rounds=5)
+    rough, single = models.each_category(rows, "iptc", cats, few), {}
+    for c in cats:
+        y = [int(c in h) for h in held]
+        made = [(float(y[i]), x[i].tolist()) for i in perceptron.ordered(x, np.array(y))]
+        marked = models.features(spark.createDataFrame(made, "label double, numbers array<double>").coalesce(1), "numbers")
+        single[c] = fit(marked)
+        assert together[c].layers == list(single[c].getLayers()) == list(together[c].spark(spark).getLayers())
+        assert np.allclose(together[c].weights, single[c].weights.toArray(), rtol=1e-6, atol=1e-6)
+        assert np.allclose(rough[c].weights, few(marked).weights.toArray(), rtol=1e-3, atol=1e-3)
+    wanted = {i: [] for i in range(300)}
+    for c in sorted(cats):
+        said = [{r["id"] for r in m.transform(rows).where("prediction = 1").select("id").collect()} for m in (single[c], together[c].spark(spark))]
+        assert said[0] == said[1]
+        for i in said[0]:
+            wanted[i].append(c)
+    assert {r["id"]: r["pred"] for r in models.predicted(rows, together).collect()} == wanted and sum(map(len, wanted.values())) > 100
+
+
+def test_perceptrons_of_more_rows_than_a_task_holds(spark, monkeypatch):
+    import numpy as np
+
+    from tidewire.operators import perceptron
+
+    x = np.random.default_rng(6).normal(size=(40, 2))
+    rows = models.features(spark.createDataFrame([(i, x[i].tolist(), ["x"] if x[i, 0] > 0 else None) for i in range(40)], "id int, numbers array<double>, iptc array<string>"), "numbers")
+    said = []
+    for most in (80, 79):  # Spark's own trainer takes what is too much
+        monkeypatch.setattr(perceptron, "MOST", most)
+        said.append({r["id"]: r["pred"] for r in models.predicted(rows, models.each_category(rows, "iptc", ["x"], models.feed_forward(2, (3,), rounds=20))).collect()})
+    assert said[0] == said[1] == {i: ["x"] if x[i, 0] > 0 else [] for i in range(40)}
